@@ -1,4 +1,8 @@
-"""Aggregate specifications ``{column: [function, ...]}`` turned into Spark aggregates."""
+"""Aggregate specifications ``{column: [function, ...]}`` written out as Spark SQL expressions.
+
+A client table has hundreds of aggregates. As expression text each costs one call into the
+JVM; built from Column objects it would cost a dozen.
+"""
 
 from __future__ import annotations
 
@@ -11,47 +15,51 @@ from .naming import quoted
 
 Spec = Mapping[str, Sequence[str]]
 
-
-def _sum_or_zero(x: Column) -> Column:
-    return F.coalesce(F.sum(x), F.lit(0))
-
-
 # min, max, mean, var and nunique skip NULL; size counts rows; a sum over nothing is 0.
 FUNCTIONS = {
-    "min": F.min,
-    "max": F.max,
-    "mean": F.avg,
-    "sum": _sum_or_zero,
-    "var": F.var_samp,
-    "nunique": F.count_distinct,
+    "min": "min({x})",
+    "max": "max({x})",
+    "mean": "avg({x})",
+    "sum": "coalesce(sum({x}), 0)",
+    "var": "var_samp({x})",
+    "nunique": "count(DISTINCT {x})",
+    "size": "count(1)",
 }
 
 
-def apply_function(name: str, column: str, where: Column | None = None) -> Column:
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def aggregate_sql(name: str, column: str, where: str | None = None) -> str:
     """One aggregate, over all rows of the group or only those where ``where`` holds.
 
     A client whose group has no such row gets NULL for every function, sums and counts
     included, as a left join with the aggregated subset would give.
     """
-    x = F.col(quoted(column))
+    x = quoted(column)
     if where is None:
-        return F.count(F.lit(1)) if name == "size" else FUNCTIONS[name](x)
+        return FUNCTIONS[name].format(x=x)
     if name == "size":
-        return F.nullif(F.count_if(where), F.lit(0))
-    value = FUNCTIONS[name](F.when(where, x))
+        return f"nullif(count_if({where}), 0)"
+    value = FUNCTIONS[name].format(x=f"CASE WHEN {where} THEN {x} END")
     if name in ("sum", "nunique"):
-        return F.when(F.count_if(where) > 0, value)
+        return f"CASE WHEN count_if({where}) > 0 THEN {value} END"
     return value
 
 
-def spec_columns(spec: Spec, prefix: str = "", where: Column | None = None) -> list[Column]:
-    """``PREFIX_COLUMN_FUNCTION`` aggregates for a whole specification."""
+def spec_sql(spec: Spec, prefix: str = "", where: str | None = None) -> list[str]:
+    """``PREFIX_COLUMN_FUNCTION`` aggregates for a whole specification, as SQL text."""
     return [
-        apply_function(fn, column, where).alias(f"{prefix}{column}_{fn.upper()}")
+        f"{aggregate_sql(fn, column, where)} AS {quoted(f'{prefix}{column}_{fn.upper()}')}"
         for column, fns in spec.items()
         for fn in fns
     ]
 
 
+def spec_columns(spec: Spec, prefix: str = "", where: str | None = None) -> list[Column]:
+    return [F.expr(text) for text in spec_sql(spec, prefix, where)]
+
+
 def spec_names(spec: Spec, prefix: str = "") -> list[str]:
     return [f"{prefix}{column}_{fn.upper()}" for column, fns in spec.items() for fn in fns]

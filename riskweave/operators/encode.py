@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import literal
 from ..functions.naming import quoted, text_columns
 
 Domain = dict[str, list[str]]
@@ -51,15 +52,15 @@ def fit_domain(
     return {c: sorted(v) for c, v in domain.items()}
 
 
-def dummy_tests(domain: Domain, dummy_na: bool) -> dict[str, Column]:
-    """``{COLUMN_value: condition}``; with ``dummy_na`` also ``COLUMN_nan``."""
-    tests: dict[str, Column] = {}
+def dummy_tests(domain: Domain, dummy_na: bool) -> dict[str, str]:
+    """``{COLUMN_value: SQL condition}``; with ``dummy_na`` also ``COLUMN_nan``."""
+    tests: dict[str, str] = {}
     for column, values in domain.items():
-        c = F.col(quoted(column))
+        c = quoted(column)
         for value in values:
-            tests[f"{column}_{value}"] = c.eqNullSafe(F.lit(value))
+            tests[f"{column}_{value}"] = f"{c} <=> {literal(value)}"
         if dummy_na:
-            tests[f"{column}_nan"] = c.isNull()
+            tests[f"{column}_nan"] = f"{c} IS NULL"
     return tests
 
 
@@ -69,9 +70,9 @@ def one_hot(df: DataFrame, domain: Domain | None = None, dummy_na: bool = True)
     A value unseen at fit time gives zeros everywhere.
     """
     domain = fit_domain(df) if domain is None else domain
-    kept = [F.col(quoted(c)) for c in df.columns if c not in domain]
-    dummies = [t.cast("int").alias(n) for n, t in dummy_tests(domain, dummy_na).items()]
-    return df.select(*kept, *dummies)
+    kept = [quoted(c) for c in df.columns if c not in domain]
+    dummies = [f"CAST({t} AS INT) AS {quoted(n)}" for n, t in dummy_tests(domain, dummy_na).items()]
+    return df.selectExpr(*kept, *dummies)
 
 
 def one_hot_encoder(df: DataFrame, dummy_na: bool = True) -> tuple[DataFrame, list[str], list[str]]:
@@ -85,7 +86,7 @@ def category_counts(domain: Domain, dummy_na: bool = True) -> list[Column]:
 
     Dividing by the group size gives the mean of the dummy without ever storing it.
     """
-    return [F.count_if(t).alias(n) for n, t in dummy_tests(domain, dummy_na).items()]
+    return [F.expr(f"count_if({t}) AS {quoted(n)}") for n, t in dummy_tests(domain, dummy_na).items()]
 
 
 def one_hot_rate(df: DataFrame, key: str, domain: Domain | None = None, dummy_na: bool = True) -> DataFrame:
@@ -93,8 +94,8 @@ def one_hot_rate(df: DataFrame, key: str, domain: Domain | None = None, dummy_na
     domain = fit_domain(df, [c for c in text_columns(df) if c != key]) if domain is None else domain
     counts = category_counts(domain, dummy_na)
     grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *counts)
-    names = list(dummy_tests(domain, dummy_na))
-    return grouped.select(key, *[(F.col(quoted(n)) / F.col("_rows")).alias(f"{n}_MEAN") for n in names])
+    shares = [f"{quoted(n)} / _rows AS {quoted(n + '_MEAN')}" for n in dummy_tests(domain, dummy_na)]
+    return grouped.selectExpr(key, *shares)
 
 
 def fit_labels(

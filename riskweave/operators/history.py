@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Spec, spec_columns, spec_names
@@ -24,7 +24,7 @@ def rollup(
     spec: Spec,
     domain: Domain | None = None,
     prefix: str = "",
-    subsets: Mapping[str, Column] | None = None,
+    subsets: Mapping[str, str] | None = None,
     count_as: str | None = None,
     dummy_na: bool = True,
     extra: Spec | None = None,
@@ -34,7 +34,7 @@ def rollup(
     spec      numeric aggregates, named ``PREFIX_COLUMN_FUNCTION``
     extra     further aggregates that the subsets do not repeat
     domain    categories whose shares are added as ``PREFIX_COLUMN_value_MEAN``
-    subsets   ``{prefix: condition}``: the numeric aggregates again over those rows only,
+    subsets   ``{prefix: SQL condition}``: the numeric aggregates again over those rows only,
               in the same pass instead of a filtered copy joined back
     count_as  name of a column with the number of rows
     """
@@ -46,14 +46,12 @@ def rollup(
     grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggregates)
 
     shares = [
-        (F.col(quoted(n)) / F.col(_ROWS)).alias(f"{prefix}{n}_MEAN") for n in dummy_tests(domain, dummy_na)
+        f"{quoted(n)} / {_ROWS} AS {quoted(f'{prefix}{n}_MEAN')}" for n in dummy_tests(domain, dummy_na)
     ]
     kept = spec_names(spec, prefix) + spec_names(extra, prefix)
     subset_names = [n for p in (subsets or {}) for n in spec_names(spec, p)]
-    count = [F.col(_ROWS).alias(count_as)] if count_as else []
-    return grouped.select(
-        key, *[F.col(quoted(n)) for n in kept], *shares, *[F.col(quoted(n)) for n in subset_names], *count
-    )
+    count = [f"{_ROWS} AS {quoted(count_as)}"] if count_as else []
+    return grouped.selectExpr(key, *map(quoted, kept), *shares, *map(quoted, subset_names), *count)
 
 
 def rollup_all_columns(
@@ -80,22 +78,21 @@ def rollup_all_columns(
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias(_ROWS), *spec_columns(spec, prefix), *category_counts(domain, dummy_na))
     )
-    n = F.col(_ROWS)
-
-    def from_count(name: str, fn: str) -> Column:
-        k = F.col(quoted(name))
-        forms = {
-            "min": (k == n).cast("int"),
-            "max": (k > 0).cast("int"),
-            "mean": k / n,
-            "sum": k,
-            "var": F.when(n > 1, k * (n - k) / F.nullif(n * (n - 1), F.lit(0))),
-        }
-        return forms[fn].alias(f"{prefix}{name}_{fn.upper()}")
-
-    dummies = [from_count(name, fn) for name in names for fn in functions]
-    count = [n.alias(count_as)] if count_as else []
-    return grouped.select(key, *[F.col(quoted(c)) for c in spec_names(spec, prefix)], *dummies, *count)
+    n = _ROWS
+    from_count = {
+        "min": "CAST({k} = {n} AS INT)",
+        "max": "CAST({k} > 0 AS INT)",
+        "mean": "{k} / {n}",
+        "sum": "{k}",
+        "var": "CASE WHEN {n} > 1 THEN {k} * ({n} - {k}) / nullif({n} * ({n} - 1), 0) END",
+    }
+    dummies = [
+        f"{from_count[fn].format(k=quoted(name), n=n)} AS {quoted(f'{prefix}{name}_{fn.upper()}')}"
+        for name in names
+        for fn in functions
+    ]
+    count = [f"{n} AS {quoted(count_as)}"] if count_as else []
+    return grouped.selectExpr(key, *map(quoted, spec_names(spec, prefix)), *dummies, *count)
 
 
 def group_count(df: DataFrame, key: str, name: str = "n") -> DataFrame:

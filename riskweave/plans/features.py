@@ -147,8 +147,8 @@ def bureau_features(
     month_shares = {f"{n}_MEAN": ["mean"] for n in dummy_tests(balance_domain, dummy_na=True)}
     credits = bureau_with_balance(bureau, balance, balance_domain)
     subsets = {
-        "ACTIVE_": F.col("CREDIT_ACTIVE").eqNullSafe(F.lit("Active")),
-        "CLOSED_": F.col("CREDIT_ACTIVE").eqNullSafe(F.lit("Closed")),
+        "ACTIVE_": "CREDIT_ACTIVE <=> 'Active'",
+        "CLOSED_": "CREDIT_ACTIVE <=> 'Closed'",
     }
     return rollup(credits, ID_COL, BUREAU_SPEC, domain, "BURO_", subsets, extra=month_shares)
 
@@ -167,8 +167,8 @@ def previous_features(previous: DataFrame, domain: Domain | None = None) -> Data
     domain = _fit(previous, domain)
     cleared = previous.withColumns({c: sentinel_to_null(c) for c in PREVIOUS_DATES if c in previous.columns})
     subsets = {
-        "APPROVED_": F.col("NAME_CONTRACT_STATUS").eqNullSafe(F.lit("Approved")),
-        "REFUSED_": F.col("NAME_CONTRACT_STATUS").eqNullSafe(F.lit("Refused")),
+        "APPROVED_": "NAME_CONTRACT_STATUS <=> 'Approved'",
+        "REFUSED_": "NAME_CONTRACT_STATUS <=> 'Refused'",
     }
     return rollup(previous_ratios(cleared), ID_COL, PREVIOUS_SPEC, domain, "PREV_", subsets)
 

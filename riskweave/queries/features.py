@@ -33,7 +33,7 @@ def sql_ratio(a: str, b: str) -> str:
     )
 
 
-def sql_tidy(x: str, digits: int = 4) -> str:
+def sql_tidy(x: str, digits: int = 6) -> str:
     return f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN round(CAST({x} AS DOUBLE), {digits}) END"
 
 
@@ -51,15 +51,24 @@ def sql_agg(fn: str, x: str, cond: str | None = None) -> str:
     return f"{name}(CAST({v} AS DOUBLE))"
 
 
-def sql_spec(spec, prefix: str, cond: str | None = None, digits: int = 4) -> list[str]:
-    return [
-        f'{sql_tidy(sql_agg(fn, f"{chr(34)}{c}{chr(34)}", cond), digits)} AS "{prefix}{c}_{fn.upper()}"'
-        for c, fns in spec.items()
-        for fn in fns
-    ]
+def places(name: str) -> int:
+    """Decimals to compare: fewer for variances of large amounts."""
+    if name.endswith("_VAR"):
+        return 4 if "DAYS_CREDIT" in name else 3 if "AMT_" in name else 6
+    return 6
+
 
+def sql_spec(spec, prefix: str, cond: str | None = None) -> list[str]:
+    parts = []
+    for c, fns in spec.items():
+        for fn in fns:
+            name = f"{prefix}{c}_{fn.upper()}"
+            value = sql_agg(fn, '"' + c + '"', cond)
+            parts.append(f'{sql_tidy(value, places(name))} AS "{name}"')
+    return parts
 
-def sql_shares(column: str, values: list[str], prefix: str, digits: int = 4) -> list[str]:
+
+def sql_shares(column: str, values: list[str], prefix: str, digits: int = 6) -> list[str]:
     tests = [(f"{column}_{v}", f"{column} = '{v}'") for v in values]
     tests.append((f"{column}_nan", f"{column} IS NULL"))
     return [
@@ -176,7 +185,7 @@ _CARD_DUMMIES = [f"NAME_CONTRACT_STATUS_{v}" for v in [*CATEGORIES["EVENT"], "na
 
 def _card_parts() -> list[str]:
     spec = {c: ["min", "max", "mean", "sum", "var"] for c in _CARD_NUMBERS + _CARD_DUMMIES}
-    return sql_spec(spec, "CC_", digits=3) + ['CAST(count(*) AS DOUBLE) AS "CC_COUNT"']
+    return sql_spec(spec, "CC_") + ['CAST(count(*) AS DOUBLE) AS "CC_COUNT"']
 
 
 _APP_VALUES = f"""
@@ -258,14 +267,9 @@ DATASET_SQL = _dataset_sql()
 KEY = ["SK_ID_CURR"]
 
 
-def _digits(name: str) -> int:
-    """Card variances are large; three digits keep them comparable."""
-    return 3 if name.startswith("CC_") else 4
-
-
 @query("build_dataset", DATASET_SQL)
 def build_dataset(spark, sf):
-    return tidy_double(P.build_dataset(sources(spark, sf)), KEY, _digits)
+    return tidy_double(P.build_dataset(sources(spark, sf)), KEY, places)
 
 
 @query(
@@ -295,7 +299,7 @@ def join_feature_blocks(spark, sf):
 
 @query("application_features", APPLICATION + _application_sql())
 def application_features(spark, sf):
-    return tidy_double(P.application_features(source(spark, sf, "application")), KEY)
+    return tidy_double(P.application_features(source(spark, sf, "application")), KEY, 6)
 
 
 @query(
@@ -320,7 +324,7 @@ def agg_monthly_child(spark, sf):
 def join_child_agg(spark, sf):
     joined = P.bureau_with_balance(source(spark, sf, "bureau"), source(spark, sf, "bureau_balance"))
     names = ["CREDIT_ACTIVE", "DAYS_CREDIT", "MONTHS_BALANCE_MIN", "MONTHS_BALANCE_MAX", "MONTHS_BALANCE_SIZE"]
-    return tidy(joined.select("SK_ID_CURR", *names, "STATUS_nan_MEAN"))
+    return tidy(joined.select("SK_ID_CURR", *names, "STATUS_nan_MEAN"), digits=6)
 
 
 def _bureau(spark, sf):
@@ -328,7 +332,7 @@ def _bureau(spark, sf):
 
 
 def _block(df, *prefixes):
-    return tidy_double(df.select("SK_ID_CURR", *[c for c in df.columns if c.startswith(prefixes)]), KEY, _digits)
+    return tidy_double(df.select("SK_ID_CURR", *[c for c in df.columns if c.startswith(prefixes)]), KEY, places)
 
 
 @query(
@@ -408,7 +412,7 @@ s AS (SELECT SK_ID_CURR, sum(AMT_CREDIT_SUM) AS ACTIVE_AMT_CREDIT_SUM_SUM, count
 SELECT * FROM a LEFT JOIN s USING (SK_ID_CURR)""",
 )
 def join_subset_agg(spark, sf):
-    active = F.col("CREDIT_ACTIVE").eqNullSafe("Active")
+    active = "CREDIT_ACTIVE <=> 'Active'"
     return (
         source(spark, sf, "bureau")
         .groupBy("SK_ID_CURR")
@@ -447,7 +451,7 @@ _FUNCTION_SPEC = {"tax_or_null": _ALL_FUNCTIONS}
 def agg_functions(spark, sf):
     tax = F.when(F.col("l_tax") > F.lit(0.04), F.col("l_tax") * 100)
     q = table(spark, sf, "lineitem").select("l_orderkey", tax.alias("tax_or_null"))
-    return tidy_double(history.rollup(q, "l_orderkey", _FUNCTION_SPEC), ["l_orderkey"])
+    return tidy_double(history.rollup(q, "l_orderkey", _FUNCTION_SPEC), ["l_orderkey"], places)
 
 
 @query("agg_group_count", "SELECT o_custkey, count(*) AS n_rows FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey")
@@ -559,7 +563,7 @@ def ratio_ieee(spark, sf):
         F.max("ratio").alias("max_ratio"),
         F.min("ratio").alias("min_ratio"),
     )
-    return tidy(grouped)
+    return tidy(grouped, digits=6)
 
 
 def _select_sql(relation: str, keys: list[str], columns: list[str], digits: int = 6) -> str:

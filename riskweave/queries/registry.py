@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.naming import quoted
-from ..functions.numeric import finite_or_null
 from ..session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,19 +43,19 @@ def tidy(df: DataFrame, keys: Sequence[str] = (), digits: int | Callable[[str],
     places = digits if callable(digits) else lambda _: digits
     columns = []
     for field in df.schema.fields:
-        c = F.col(quoted(field.name))
+        c = quoted(field.name)
         if field.name not in keys and isinstance(field.dataType, T.FractionalType):
-            c = F.round(finite_or_null(c), places(field.name))
-        columns.append(c.alias(field.name))
-    return df.select(*columns)
+            c = f"round(CASE WHEN abs({c}) < double('inf') THEN {c} END, {places(field.name)}) AS {c}"
+        columns.append(c)
+    return df.selectExpr(*columns)
 
 
 def tidy_double(df: DataFrame, keys: Sequence[str] = (), digits: int | Callable[[str], int] = 4) -> DataFrame:
     """As ``tidy``, with every numeric column outside ``keys`` as a double."""
     columns = [
-        F.col(quoted(f.name)).cast("double").alias(f.name)
+        f"CAST({quoted(f.name)} AS DOUBLE) AS {quoted(f.name)}"
         if f.name not in keys and isinstance(f.dataType, (T.NumericType, T.BooleanType))
-        else F.col(quoted(f.name))
+        else quoted(f.name)
         for f in df.schema.fields
     ]
-    return tidy(df.select(*columns), keys, digits)
+    return tidy(df.selectExpr(*columns), keys, digits)

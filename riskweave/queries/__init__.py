@@ -3,6 +3,8 @@
 from . import (  # noqa: F401
     evaluation,
     features,
+    modelling,
+    monitoring,
     profiling,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

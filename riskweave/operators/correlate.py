@@ -2,81 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import numeric_columns, quoted
-from ..functions.numeric import guarded_ratio
-from ..session import shuffle_width
-from .profile import inf_to_null, target_corr
-
-_GRAM = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-
-
-def _gram_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the rows of a partition for every column pair i < j, NULLs left out pairwise."""
-    total = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns])
-        known = np.isfinite(x)
-        x = np.where(known, x, 0.0)
-        known = known.astype("float64")
-        squares = x * x
-        sums = np.stack(
-            [known.T @ known, x.T @ known, known.T @ x, squares.T @ known, known.T @ squares, x.T @ x]
-        )
-        total = sums if total is None else total + sums
-    if total is None:
-        return
-    i, j = np.triu_indices(total.shape[1], k=1)
-    arrays = [pa.array(i.astype("int32")), pa.array(j.astype("int32"))]
-    arrays += [pa.array(part[i, j]) for part in total]
-    names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
-    for lo in range(0, len(i), 50_000):
-        yield pa.RecordBatch.from_arrays([a.slice(lo, 50_000) for a in arrays], names=names)
+from ..functions.naming import numeric_columns
+from ..session import materialise
+from .moments import pair_correlation
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(i, j, column_i, column_j, r)`` for all pairs i < j, each over its own known rows.
-
-    Each task reduces its rows to one block of sums, so the shuffle carries
-    tasks x pairs rows and not one row per cell. Input splits are joined into about one task
-    per core (or per shuffle partition, if more) to keep that product small. Columns are
-    shifted by their mean first, which keeps the sums of squares small.
-    """
+    """``(i, j, column_i, column_j, r)`` for all pairs i < j, each over its own known rows."""
     columns = list(columns if columns is not None else numeric_columns(df))
     if len(columns) < 2:
         raise ValueError("correlation needs two columns")
-    x = inf_to_null(df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in columns]))
-    means = x.agg(*[F.avg(F.col(quoted(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shifted = x.select(
-        *[(F.col(quoted(c)) - F.lit(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
-    )
-    spark = df.sparkSession
-    tasks = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
-    blocks = shifted.coalesce(tasks).mapInArrow(_gram_of_partition, _GRAM)
-    s = blocks.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
-
-    n = F.nullif("n", F.lit(0.0))
-    spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / n
-    shared = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    # below this share of the raw squares a spread is rounding noise around a constant
-    real = (spread_x > F.col("sxx") * 1e-13) & (spread_y > F.col("syy") * 1e-13)
-    r = F.when(real, guarded_ratio(shared, F.sqrt(F.abs(spread_x)) * F.sqrt(F.abs(spread_y))))
     names = F.array(*[F.lit(c) for c in columns])
-    return s.select(
+    return pair_correlation(df, columns).select(
         "i",
         "j",
         F.get(names, F.col("i")).alias("column_i"),
         F.get(names, F.col("j")).alias("column_j"),
-        r.alias("r"),
+        "r",
     )
 
 
@@ -102,11 +49,18 @@ def corr_prune(pairs: DataFrame, target_r: DataFrame, threshold: float = 0.9) ->
 
 
 def prune_correlated(df: DataFrame, target: str, threshold: float = 0.9) -> DataFrame:
-    """``(column)`` to drop from ``df``; label and ids take part like any number."""
-    columns = numeric_columns(df)
-    with_label = target_corr(df, target, [c for c in columns if c != target])
+    """``(column)`` to drop from ``df``; label and ids take part like any number.
+
+    The correlations with the label are among the pairs. The pairs are written once, as three
+    joins read them.
+    """
+    pairs = materialise(corr_pairs(df), "pairs")
+    with_label = pairs.where(F.col("column_i") == target).select(F.col("column_j").alias("column"), "r")
+    with_label = with_label.unionByName(
+        pairs.where(F.col("column_j") == target).select(F.col("column_i").alias("column"), "r")
+    )
     label = df.sparkSession.createDataFrame([(target, 1.0)], "column string, r double")
-    return corr_prune(corr_pairs(df, columns), with_label.unionByName(label), threshold)
+    return corr_prune(pairs, with_label.unionByName(label), threshold)
 
 
 def top_corr_features(target_r: DataFrame, n: int = 15, present: DataFrame | None = None) -> DataFrame:

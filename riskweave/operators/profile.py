@@ -8,56 +8,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import boolean_columns, fractional_columns, numeric_columns, quoted, text_columns
-from ..functions.numeric import finite_or_null, guarded_ratio, is_infinite
+from .moments import pair_correlation
 from .ordered import exact_quantiles
 
 _HIGH_SHARE = 0.99
 
 
-def column_report(df: DataFrame, measures: dict[str, Column], value: str) -> DataFrame:
-    """One aggregate per column of ``df``, returned as rows ``(column, value)``."""
+def column_report(df: DataFrame, measures: dict[str, str], value: str) -> DataFrame:
+    """One SQL aggregate per column of ``df``, returned as rows ``(column, value)``."""
     if not measures:
-        return df.sparkSession.createDataFrame([], f"column string, `{value}` double")
-    return df.agg(*[m.alias(c) for c, m in measures.items()]).unpivot([], list(measures), "column", value)
+        return df.sparkSession.createDataFrame([], f"column string, {quoted(value)} double")
+    wide = df.selectExpr(*[f"{m} AS {quoted(c)}" for c, m in measures.items()])
+    return wide.unpivot([], list(map(quoted, measures)), "column", value)
 
 
 def inf_to_null(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: finite_or_null(F.col(quoted(c))) for c in fractional_columns(df)})
+    fractional = set(fractional_columns(df))
+    return df.selectExpr(
+        *[
+            f"CASE WHEN abs({quoted(c)}) < double('inf') THEN {quoted(c)} END AS {quoted(c)}" if c in fractional else quoted(c)
+            for c in df.columns
+        ]
+    )
 
 
 def count_inf(df: DataFrame) -> DataFrame:
-    cells = F.lit(0)
-    for c in fractional_columns(df):
-        cells = cells + F.count_if(is_infinite(F.col(quoted(c))))
-    return df.agg(cells.cast("long").alias("n_inf"))
+    cells = [f"count_if(abs({quoted(c)}) = double('inf'))" for c in fractional_columns(df)]
+    return df.selectExpr(f"{' + '.join(['0L', *cells])} AS n_inf")
 
 
 def bool_to_int(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(quoted(c)).cast("int") for c in boolean_columns(df)})
-
-
-def _null_share(c: str) -> Column:
-    return F.avg(F.col(quoted(c)).isNull().cast("double"))
+    flags = set(boolean_columns(df))
+    return df.selectExpr(
+        *[f"CAST({quoted(c)} AS INT) AS {quoted(c)}" if c in flags else quoted(c) for c in df.columns]
+    )
 
 
 def null_ratio(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
     """``(column, null_ratio)``, highest first."""
     columns = list(columns if columns is not None else df.columns)
-    report = column_report(df, {c: _null_share(c) for c in columns}, "null_ratio")
-    report = report.orderBy(F.col("null_ratio").desc(), "column")
+    shares = {c: f"(count(1) - count({quoted(c)})) / nullif(count(1), 0)" for c in columns}
+    report = column_report(df, shares, "null_ratio").orderBy(F.col("null_ratio").desc(), "column")
     return report.limit(top) if top else report
 
 
+def _null_cells(df: DataFrame) -> str:
+    """SQL for the number of NULL cells of the table."""
+    known = " + ".join(["0L", *[f"count({quoted(c)})" for c in df.columns]])
+    return f"count(1) * {len(df.columns)}L - ({known})"
+
+
 def null_count_total(df: DataFrame) -> DataFrame:
-    cells = F.lit(0)
-    for c in df.columns:
-        cells = cells + F.count_if(F.col(quoted(c)).isNull())
-    return df.agg(cells.cast("long").alias("n_null"))
+    return df.selectExpr(f"{_null_cells(df)} AS n_null")
 
 
 def nonnull_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns if columns is not None else df.columns)
-    return column_report(df, {c: F.count(F.col(quoted(c))) for c in columns}, "n_known")
+    return column_report(df, {c: f"count({quoted(c)})" for c in columns}, "n_known")
 
 
 def select_high_missing(df: DataFrame, threshold: float = _HIGH_SHARE) -> DataFrame:
@@ -66,15 +73,11 @@ def select_high_missing(df: DataFrame, threshold: float = _HIGH_SHARE) -> DataFr
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with at most one distinct value, NULL counting as a value."""
-
-    def is_constant(c: str) -> Column:
-        x = F.col(quoted(c))
-        one_value = F.min(x).eqNullSafe(F.max(x))
-        no_mix = (F.count(x) == 0) | (F.count(x) == F.count(F.lit(1)))
-        return one_value & no_mix
-
-    report = column_report(df, {c: is_constant(c) for c in df.columns}, "is_constant")
-    return report.where("is_constant").select("column")
+    tests = {}
+    for c in df.columns:
+        x = quoted(c)
+        tests[c] = f"min({x}) <=> max({x}) AND count({x}) IN (0, count(1))"
+    return column_report(df, tests, "is_constant").where("is_constant").select("column")
 
 
 def quasi_constant_columns(df: DataFrame, threshold: float = _HIGH_SHARE) -> DataFrame:
@@ -89,10 +92,13 @@ def quasi_constant_columns(df: DataFrame, threshold: float = _HIGH_SHARE) -> Dat
     sketches = [F.expr(f"approx_top_k({quoted(c)}, 1, 128)").alias(f"c{i}") for i, c in enumerate(df.columns)]
     sketched = df.agg(*sketches).first()
     candidates = {c: sketched[i][0]["item"] for i, c in enumerate(df.columns) if sketched[i]}
-    shares = {
-        c: F.avg(F.col(quoted(c)).eqNullSafe(F.lit(item)).cast("double")) for c, item in candidates.items()
-    }
-    return column_report(df, shares, "top_share").where(F.col("top_share") > threshold)
+    names = list(candidates)
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(quoted(c)).eqNullSafe(F.lit(candidates[c]))).alias(f"k{i}") for i, c in enumerate(names)],
+    )
+    shares = counted.selectExpr(*[f"k{i} / nullif(n, 0) AS {quoted(c)}" for i, c in enumerate(names)])
+    return shares.unpivot([], list(map(quoted, names)), "column", "top_share").where(F.col("top_share") > threshold)
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str] | None = None, top: int = 20) -> DataFrame:
@@ -142,25 +148,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return report.select("feature", "s.*").join(quantiles, "feature", "left")
 
 
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson over rows where both are known; NULL when either is constant there."""
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    return guarded_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def target_corr(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, r)`` against the label for numeric and boolean columns, one pass."""
+    """``(column, r)`` against the label for numeric and boolean columns, pairwise complete."""
     if columns is None:
         columns = [c for c in numeric_columns(df) + boolean_columns(df) if c != target]
-    y = F.col(quoted(target))
-
-    def number(c: str) -> Column:
-        x = F.col(quoted(c))
-        return x.cast("int") if c in flags else x
-
-    flags = set(boolean_columns(df))
-    return column_report(df, {c: correlation(number(c), y) for c in columns}, "r")
+    names = F.array(*[F.lit(c) for c in columns])
+    r = pair_correlation(bool_to_int(df), [*columns, target], target)
+    return r.where(F.col("i") != F.col("j")).select(F.get(names, F.col("i")).alias("column"), "r")
 
 
 def suspicious_missing(
@@ -174,9 +168,4 @@ def suspicious_missing(
 
 def shape_report(df: DataFrame) -> DataFrame:
     """Rows, columns and NULL cells of a table."""
-    cells = F.lit(0)
-    for c in df.columns:
-        cells = cells + F.count_if(F.col(quoted(c)).isNull())
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), cells.alias("n_null")
-    )
+    return df.selectExpr("count(1) AS n_rows", f"{len(df.columns)} AS n_columns", f"{_null_cells(df)} AS n_null")

@@ -57,5 +57,5 @@ def fit_cleaning(
 def apply_cleaning(df: DataFrame, plan: Cleaning, target: str = TARGET_COL, key: str = ID_COL) -> DataFrame:
     """Drop the chosen columns; key and label stay, whatever the profile says of them."""
     gone = plan.dropped() - {target, key}
-    kept = [F.col(quoted(c)) for c in df.columns if c not in gone]
-    return bool_to_int(labelled(df.select(*kept), target))
+    kept = [quoted(c) for c in df.columns if c not in gone]
+    return bool_to_int(labelled(df.selectExpr(*kept), target))

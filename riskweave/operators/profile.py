@@ -45,10 +45,15 @@ def bool_to_int(df: DataFrame) -> DataFrame:
 
 
 def null_ratio(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
-    """``(column, null_ratio)``, highest first."""
+    """``(column, null_ratio)``, highest first.
+
+    The report comes from a single aggregated row, so it sits in one partition already and is
+    ordered there.
+    """
     columns = list(columns if columns is not None else df.columns)
     shares = {c: f"(count(1) - count({quoted(c)})) / nullif(count(1), 0)" for c in columns}
-    report = column_report(df, shares, "null_ratio").orderBy(F.col("null_ratio").desc(), "column")
+    report = column_report(df, shares, "null_ratio")
+    report = report.coalesce(1).sortWithinPartitions(F.col("null_ratio").desc(), "column")
     return report.limit(top) if top else report
 
 

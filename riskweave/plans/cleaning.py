@@ -41,15 +41,14 @@ def fit_cleaning(
     constant_threshold: float = 0.99,
     corr_threshold: float = 0.9,
 ) -> Cleaning:
-    """Decide which columns go. Only column names come to the driver.
+    """Decide which columns of a labelled table go. Only column names come to the driver.
 
-    The table is written once, since every check reads it again with fewer columns.
+    Every check reads the table again, with fewer columns, so it should be a stored one.
     """
-    stored = materialise(labelled(df, target), "features")
-    plan = Cleaning(high_missing=_names(select_high_missing(stored, missing_threshold)))
-    left = stored.drop(*map(quoted, plan.high_missing))
+    plan = Cleaning(high_missing=_names(select_high_missing(df, missing_threshold)))
+    left = df.drop(*plan.high_missing)
     plan.quasi_constant = _names(quasi_constant_columns(left, constant_threshold))
-    left = left.drop(*map(quoted, plan.quasi_constant))
+    left = left.drop(*plan.quasi_constant)
     plan.correlated = _names(prune_correlated(left, target, corr_threshold))
     return plan
 
@@ -57,5 +56,14 @@ def fit_cleaning(
 def apply_cleaning(df: DataFrame, plan: Cleaning, target: str = TARGET_COL, key: str = ID_COL) -> DataFrame:
     """Drop the chosen columns; key and label stay, whatever the profile says of them."""
     gone = plan.dropped() - {target, key}
-    kept = [quoted(c) for c in df.columns if c not in gone]
-    return bool_to_int(labelled(df.selectExpr(*kept), target))
+    return bool_to_int(df.selectExpr(*[quoted(c) for c in df.columns if c not in gone]))
+
+
+def clean_dataset(df: DataFrame, target: str = TARGET_COL, key: str = ID_COL) -> tuple[DataFrame, Cleaning]:
+    """The assembled table ready for modelling, and what was dropped from it.
+
+    The labelled table is written once; the checks and the result both read that copy.
+    """
+    stored = materialise(labelled(df, target), "features")
+    plan = fit_cleaning(stored, target)
+    return apply_cleaning(stored, plan, target, key), plan

@@ -150,5 +150,5 @@ def sink_run_metrics(spark, sf):
 @query("clean_dataset")
 def clean_dataset(spark, sf):
     """The whole preparation: build, profile, drop, convert; one row per labelled client."""
-    data = P.build_dataset(sources(spark, sf))
-    return cleaning.apply_cleaning(data, cleaning.fit_cleaning(data))
+    cleaned, _ = cleaning.clean_dataset(P.build_dataset(sources(spark, sf)))
+    return tidy(cleaned)

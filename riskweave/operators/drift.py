@@ -38,17 +38,16 @@ def running_shares(cells: DataFrame) -> DataFrame:
 
     Features with ten known values or fewer on either side are left out.
     """
-    totals = cells.groupBy("feature").agg(F.sum("n_ref").alias("ref_size"), F.sum("n_cur").alias("cur_size"))
-    totals = totals.where((F.col("ref_size") > MIN_VALUES) & (F.col("cur_size") > MIN_VALUES))
-    running = prefix_totals(cells, ["value"], ["n_ref", "n_cur"], ["feature"], with_next=True)
-    return running.join(totals, "feature").select(
+    running = prefix_totals(cells, ["value"], ["n_ref", "n_cur"], ["feature"], with_next=True, with_totals=True)
+    enough = (F.col("n_ref_total") > MIN_VALUES) & (F.col("n_cur_total") > MIN_VALUES)
+    return running.where(enough).select(
         "feature",
         "value",
         "value_next",
-        "ref_size",
-        "cur_size",
-        (F.col("n_ref_upto") / F.col("ref_size")).alias("f_ref"),
-        (F.col("n_cur_upto") / F.col("cur_size")).alias("f_cur"),
+        F.col("n_ref_total").alias("ref_size"),
+        F.col("n_cur_total").alias("cur_size"),
+        (F.col("n_ref_upto") / F.col("n_ref_total")).alias("f_ref"),
+        (F.col("n_cur_upto") / F.col("n_cur_total")).alias("f_cur"),
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +34,33 @@ def categorical_catalogue(sources: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "source_file string, original_categorical_column string")
 
 
-def fit_domain(
-    df: DataFrame, columns: Sequence[str] | None = None, max_categories: int = MAX_CATEGORIES
-) -> Domain:
-    """Sorted category values per text column, as needed to lay out encoded columns.
+def fit_domains(
+    sources: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], max_categories: int = MAX_CATEGORIES
+) -> dict[str, Domain]:
+    """Sorted category values per text column of several tables, from one job.
 
     Output columns have to be known before a plan can be made, so the values come to the
-    driver; a table with more than ``max_categories`` of them is refused, never cut.
+    driver; tables with more than ``max_categories`` of them are refused, never cut.
     """
-    columns = list(columns if columns is not None else text_columns(df))
-    values = category_domain(df, columns).where(F.col("category").isNotNull())
-    rows = values.select("column", "category").limit(max_categories + 1).collect()
+    domains: dict[str, Domain] = {name: {c: [] for c in columns[name]} for name in sources}
+    parts = [category_domain(df, columns[name], name) for name, df in sources.items() if columns[name]]
+    if not parts:
+        return domains
+    values = reduce(lambda a, b: a.unionByName(b), parts).where(F.col("category").isNotNull())
+    rows = values.select("source", "column", "category").limit(max_categories + 1).collect()
     if len(rows) > max_categories:
-        raise ValueError(f"more than {max_categories} category values in {columns}")
-    domain: Domain = {c: [] for c in columns}
+        raise ValueError(f"more than {max_categories} category values in {dict(columns)}")
     for row in rows:
-        domain[row["column"]].append(row["category"])
-    return {c: sorted(v) for c, v in domain.items()}
+        domains[row["source"]][row["column"]].append(row["category"])
+    return {name: {c: sorted(v) for c, v in domain.items()} for name, domain in domains.items()}
+
+
+def fit_domain(
+    df: DataFrame, columns: Sequence[str] | None = None, max_categories: int = MAX_CATEGORIES
+) -> Domain:
+    """Sorted category values per text column of one table."""
+    columns = list(columns if columns is not None else text_columns(df))
+    return fit_domains({"": df}, {"": columns}, max_categories)[""]
 
 
 def dummy_tests(domain: Domain, dummy_na: bool) -> dict[str, str]:

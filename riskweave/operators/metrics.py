@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import guarded_ratio
+from ..session import materialise
 from .ordered import prefix_totals
 
 # Costs of the two errors and the grid of thresholds.
@@ -92,8 +93,7 @@ def threshold_sweep(
 ) -> DataFrame:
     """``(by, threshold, fn, fp, cost)`` for all grid thresholds, from one scan.
 
-    Scores are counted per grid cell (99 per group); suffix sums over the cells give the
-    errors at each threshold.
+    Scores are counted per grid cell, 99 per group, before anything is shuffled.
     """
     y = F.col(label) == 1
     cells = (
@@ -101,10 +101,17 @@ def threshold_sweep(
         .groupBy(*by, grid_position(score).alias("cell"))
         .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     )
-    # one row per group and cell, empty cells included
+    return sweep_cells(cells, by, fn_cost, fp_cost)
+
+
+def sweep_cells(
+    cells: DataFrame, by: Sequence[str] = (), fn_cost: int = FN_COST, fp_cost: int = FP_COST
+) -> DataFrame:
+    """Errors at each threshold from label counts per grid cell; a group is at most 99 rows."""
     packed = cells.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("cell", F.struct("pos", "neg").alias("v")))).alias("m")
     )
+    # one row per group and cell, empty cells included
     full = packed.select(*by, F.col("m"), F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE))).alias("cell"))
     counted = full.select(
         *by,
@@ -148,27 +155,22 @@ def score_cells(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -
     )
 
 
-def ranked_cells(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Score cells with the positives and negatives at or above each score."""
-    cells = score_cells(df, label, score, by)
-    return prefix_totals(cells, ["score"], ["pos", "neg"], by, descending=True)
+def rank_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return prefix_totals(cells, ["score"], ["pos", "neg"], by, descending=True, with_totals=True)
 
 
-def _with_totals(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
-    totals = ranked.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if by:
-        return ranked.join(totals, list(by))
-    return ranked.withColumns({c: totals.select(c).scalar() for c in ("n_pos", "n_neg")})
+def ranked_cells(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Score cells with the positives and negatives at or above each score, and in all."""
+    return rank_cells(score_cells(df, label, score, by), by)
 
 
 def roc_points(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by, score, fpr, tpr)`` per distinct score, from ``ranked_cells``."""
-    full = _with_totals(ranked, by)
-    return full.select(
+    return ranked.select(
         *by,
         "score",
-        guarded_ratio(F.col("neg_upto"), F.col("n_neg")).alias("fpr"),
-        guarded_ratio(F.col("pos_upto"), F.col("n_pos")).alias("tpr"),
+        guarded_ratio(F.col("neg_upto"), F.col("neg_total")).alias("fpr"),
+        guarded_ratio(F.col("pos_upto"), F.col("pos_total")).alias("tpr"),
     )
 
 
@@ -199,16 +201,29 @@ def metrics_table(scored: DataFrame, label: str, score: str, model: str, fold: s
     ``scored`` holds out-of-fold scores of all models: ``(model, fold, label, score)``.
     """
     by = [model]
-    folds = roc_auc(ranked_cells(scored, label, score, [model, fold]), [model, fold])
-    overall = average_precision(ranked_cells(scored, label, score, by), by)
-    cut = best_threshold(threshold_sweep(scored, label, score, by), by).select(*by, "threshold")
+    # everything below comes from the label counts per score, which are kept once
+    cells = materialise(score_cells(scored, label, score, [model, fold]), "scores")
+    folds = roc_auc(rank_cells(cells, [model, fold]), [model, fold])
+    overall = cells.groupBy(model, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    precision = average_precision(rank_cells(overall, by), by)
+    grid = cells.groupBy(model, grid_position("score").alias("cell")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cut = best_threshold(sweep_cells(grid, by), by).select(*by, "threshold")
     # the rounded threshold may differ from the grid value in the last bit, so errors are recounted
-    predicted = F.col(score) >= F.col("threshold")
-    counts = scored.join(cut, by).groupBy(*by, "threshold").agg(*_cases(label, predicted))
+    above = F.col("score") >= F.col("threshold")
+
+    def total(measure: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(measure))), F.lit(0))
+
+    counts = cells.join(cut, by).groupBy(*by, "threshold").agg(
+        total("neg", ~above).alias("tn"),
+        total("neg", above).alias("fp"),
+        total("pos", ~above).alias("fn"),
+        total("pos", above).alias("tp"),
+    )
     rates = precision_recall_f1(counts, by)
     table = (
         fold_auc_stats(folds, by)
-        .join(overall, by)
+        .join(precision, by)
         .join(rates, by)
         .join(counts.select(*by, "threshold", cost().alias("cost"), "fn", "fp"), by)
     )

@@ -7,6 +7,7 @@ slice runs its own window on top of the total of the slices before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -24,12 +25,14 @@ def prefix_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     with_next: bool = False,
+    with_totals: bool = False,
 ) -> DataFrame:
     """Add ``<measure>_upto``: the total of ``measure`` up to and including this row.
 
     ``cells`` has one row per ``(by, order)``. Slice numbers must not change between the two
     uses of the sliced table, so that table is written once. ``with_next`` also adds
-    ``<order>_next``, the first order column of the following row (ascending order only).
+    ``<order>_next``, the first order column of the following row (ascending order only),
+    and ``with_totals`` the total of every measure over its ``by`` as ``<measure>_total``.
     """
     by, order = list(by), list(order)
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
@@ -40,13 +43,15 @@ def prefix_totals(
     totals = sliced.groupBy(_SLICE, *by).agg(
         F.min(order[0]).alias("_first"), *[F.sum(m).alias(m) for m in measures]
     )
-    slices = Window.partitionBy(*(by or [F.lit(0)])).orderBy(_SLICE)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    slices = group.orderBy(_SLICE)
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         _SLICE,
         *by,
         F.lead("_first").over(slices).alias("_next_first"),
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_before") for m in measures],
+        *[F.sum(m).over(group).alias(f"{m}_total") for m in measures if with_totals],
     )
     inside = Window.partitionBy(_SLICE, *by).orderBy(*direction)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -66,30 +71,117 @@ def value_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return long.groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Rank error of the sketch that brackets a quantile, and columns sketched together.
+_ACCURACY, _SKETCH_COLUMNS = 1000, 100
+
+
+def _brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> list[tuple]:
+    """``(feature, p, lo, hi, count)``: an interval sure to hold each quantile.
+
+    The sketch errs by at most n / accuracy ranks; the interval is three times as wide on
+    either side. A few numbers per column come to the driver. Columns go in groups, each
+    group being read once, so that no task holds hundreds of sketches.
+    """
+    margin = 3.0 / _ACCURACY
+    asked = [q for p in probabilities for q in (max(0.0, p - margin), min(1.0, p + margin))]
+    wanted = "array(" + ", ".join(f"{q!r}D" for q in asked) + ")"
+    found = []
+    for start in range(0, len(columns), _SKETCH_COLUMNS):
+        chunk = columns[start : start + _SKETCH_COLUMNS]
+        measures = []
+        for i, c in enumerate(chunk):
+            x = f"CAST(`{c}` AS DOUBLE)"
+            measures += [f"count({x}) AS n{i}", f"percentile_approx({x}, {wanted}, {_ACCURACY}) AS q{i}"]
+        row = df.selectExpr(*measures).first()
+        for i, c in enumerate(chunk):
+            n = row[f"n{i}"]
+            for k in range(len(probabilities) if n else 0):
+                # the ends have no neighbour, and of few values the margin spans too few ranks
+                lo_known = asked[2 * k] > 0 and n > 2 * _ACCURACY
+                hi_known = asked[2 * k + 1] < 1 and n > 2 * _ACCURACY
+                lo = row[f"q{i}"][2 * k] if lo_known else -math.inf
+                hi = row[f"q{i}"][2 * k + 1] if hi_known else math.inf
+                found.append((c, k, lo, hi, n))
+    return found
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """``(feature, count, q0, q1, ...)``: quantiles by linear interpolation, NULLs left out.
 
-    ``percentile`` would gather every distinct value of a column in one task; here the ranks
-    come from running totals over value counts.
+    ``percentile`` would gather every distinct value of a column in one task. Here a sketch
+    brackets each quantile, values below the bracket are only counted, and just the cells
+    inside it, under two percent of a column of distinct values, are ordered.
     """
-    cells = prefix_totals(value_cells(df, columns), ["value"], ["n"], ["feature"])
-    sizes = cells.groupBy("feature").agg(F.sum("n").alias("count"))
-    ranked = cells.join(sizes, "feature")
-    before = F.col("n_upto") - F.col("n")
-
-    picks = []
-    for i, p in enumerate(probabilities):
-        position = (F.col("count") - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            holds = (before <= rank) & (rank < F.col("n_upto"))
-            picks.append(F.max(F.when(holds, F.col("value"))).alias(f"_{side}{i}"))
-    found = ranked.groupBy("feature").agg(F.max("count").alias("count"), *picks)
-    quantiles = []
-    for i, p in enumerate(probabilities):
-        position = (F.col("count") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        quantiles.append((lo + (hi - lo) * (position - F.floor(position))).alias(f"q{i}"))
-    return found.select("feature", "count", *quantiles)
+    spark = df.sparkSession
+    columns = list(columns)
+    rows = _brackets(df, columns, probabilities)
+    layout = "feature string, k int, lo double, hi double, count long"
+    brackets = spark.createDataFrame(rows, layout)
+    if not rows:
+        empty = ", ".join(f"CAST(NULL AS DOUBLE) AS q{k}" for k in range(len(probabilities)))
+        return brackets.selectExpr("feature", "count", empty)
+
+    below, near = [], {}
+    for c, k, lo, hi, _ in rows:
+        x = f"CAST(`{c}` AS DOUBLE)"
+        below.append(f"count_if({x} < {_double(lo)}) AS `{c}#{k}`")
+        near.setdefault(c, []).append(f"{x} BETWEEN {_double(lo)} AND {_double(hi)}")
+    # values outside every bracket of their column become NULL before the table is made long
+    kept = df.selectExpr(*[f"CASE WHEN {' OR '.join(t)} THEN CAST(`{c}` AS DOUBLE) END AS `{c}`" for c, t in near.items()])
+    cells = value_cells(kept, list(near)).join(brackets, "feature")
+    inside = cells.where(F.col("value").between(F.col("lo"), F.col("hi"))).select("feature", "k", "value", "n")
+    running = prefix_totals(inside, ["value"], ["n"], ["feature", "k"])
+
+    names = [f"`{c}#{k}`" for c, k, *_ in rows]
+    outside = df.selectExpr(*below).unpivot([], names, "name", "below")
+    outside = outside.select(
+        F.regexp_extract("name", "^(.*)#", 1).alias("feature"),
+        F.regexp_extract("name", "#([0-9]+)$", 1).cast("int").alias("k"),
+        "below",
+    )
+    p = F.get(F.array(*[F.lit(float(q)) for q in probabilities]), F.col("k"))
+    placed = running.join(brackets.join(outside, ["feature", "k"]), ["feature", "k"])
+    placed = placed.withColumn("at", (F.col("count") - 1) * p)
+    upto = F.col("below") + F.col("n_upto")
+    before = upto - F.col("n")
+
+    def value_at(rank):
+        return F.max(F.when((before <= rank) & (rank < upto), F.col("value")))
+
+    found = placed.groupBy("feature", "k").agg(
+        F.max("count").alias("count"),
+        F.max("at").alias("at"),
+        value_at(F.floor("at")).alias("lo"),
+        value_at(F.ceil("at")).alias("hi"),
+    )
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
+    lo, hi = F.coalesce("lo", missed), F.coalesce("hi", missed)
+    step = F.when(lo == hi, F.lit(0.0)).otherwise((hi - lo) * (F.col("at") - F.floor("at")))
+    exact = found.select("feature", "k", "count", (lo + step).alias("q"))
+    picks = [F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(probabilities))]
+    return exact.groupBy("feature").agg(F.max("count").alias("count"), *picks)
+
+
+def _double(x: float) -> str:
+    return f"double('{x}')" if math.isinf(x) else f"{x!r}D"
+
+
+# Above this many rows the first n are found by a cut point instead of in one task.
+_TOP_IN_ONE_TASK = 100_000
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows along ``keys``, which together are unique."""
+    if n <= _TOP_IN_ONE_TASK:
+        return df.orderBy(*keys).limit(n)
+    cut = cut_rows(df.select(*keys), keys, {None: [n]}).get((None, n))
+    if cut is None:
+        return df
+    # lexicographic comparison: equal on the keys before, smaller on this one
+    within = F.lit(True)
+    for key, value in reversed(list(zip(keys, cut, strict=True))):
+        within = (F.col(key) < F.lit(value)) | ((F.col(key) == F.lit(value)) & within)
+    return df.where(within)
 
 
 def cut_rows(

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import cut_rows
+from .ordered import cut_rows, first_rows
 
 SEED = 42
 _HASH, _KEY = "_hash", "_key"
@@ -104,7 +104,8 @@ def sample_fraction(df: DataFrame, key: str, label: str, fraction: float, seed:
 
 def sample_n(df: DataFrame, key: str, n: int = 5000, seed: int = SEED) -> DataFrame:
     """``n`` rows in hash order."""
-    return df.orderBy(key_hash(key, seed), key).limit(n)
+    hashed = df.withColumn(_HASH, key_hash(key, seed))
+    return first_rows(hashed, [_HASH, key], n).drop(_HASH)
 
 
 def split_by_key_order(df: DataFrame, key: str, share: float = 0.8, name: str = "slice") -> DataFrame:

@@ -19,8 +19,10 @@ from ..functions.numeric import (
     sentinel_flag,
     sentinel_to_null,
 )
+from ..operators import encode
 from ..operators.encode import Domain, dummy_tests, fit_domain, label_encode, one_hot
 from ..operators.history import rollup, rollup_all_columns
+from ..sources.readers import scan_limit
 
 CREDIT_KEY = "SK_ID_BUREAU"
 
@@ -223,16 +225,14 @@ SOURCES = (
 
 
 def fit_domains(sources: Mapping[str, DataFrame]) -> dict[str, Domain]:
-    """Category values of every source, one small job each."""
-    return {
-        name: fit_domain(df, [c for c in text_columns(df) if c not in BINARY_LABELS])
-        for name, df in sources.items()
-    }
+    """Category values of every source, from one job."""
+    columns = {name: [c for c in text_columns(df) if c not in BINARY_LABELS] for name, df in sources.items()}
+    return encode.fit_domains(sources, columns)
 
 
 def limit_sources(sources: Mapping[str, DataFrame], num_rows: int, keys: Mapping[str, list[str]]) -> dict[str, DataFrame]:
     """The first ``num_rows`` of each source on its own, along the given sort keys."""
-    return {name: df.orderBy(*keys[name]).limit(num_rows) for name, df in sources.items()}
+    return {name: scan_limit(df, num_rows, keys[name]) for name, df in sources.items()}
 
 
 def build_dataset(

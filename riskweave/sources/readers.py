@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.naming import ID_COL
+from ..operators.ordered import first_rows
 from ..schemas import CALL_LOG, SOURCE_FILES
 
 
@@ -30,7 +31,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def scan_limit(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     """The first ``n`` rows along ``keys``, which make the choice repeatable."""
-    return df.orderBy(*keys).limit(n)
+    return first_rows(df, list(keys), n)
 
 
 def scan_parquet(

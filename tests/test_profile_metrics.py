@@ -80,6 +80,30 @@ def test_exact_quantiles_interpolate(spark):
             assert got[name][f"q{i}"] == pytest.approx(np.quantile(v, p))
 
 
+def test_quantiles_of_many_values_inside_their_brackets(spark):
+    rng = np.random.default_rng(9)
+    n = 20_011
+    skewed = np.round(np.exp(rng.normal(0, 3, n)), 3)
+    # one value holds a third of the rows, another sits at every end
+    skewed[: n // 3] = 2.5
+    coded = rng.integers(0, 3, n).astype(float)
+    df = spark.createDataFrame(list(zip(skewed.tolist(), coded.tolist(), strict=True)), "skewed double, coded double").repartition(9)
+    probabilities = [0.001, 0.25, 0.5, 0.61803, 0.999]
+    got = {r["feature"]: r for r in ordered.exact_quantiles(df, ["skewed", "coded"], probabilities).collect()}
+    for name, v in {"skewed": skewed, "coded": coded}.items():
+        assert got[name]["count"] == n
+        for i, p in enumerate(probabilities):
+            assert got[name][f"q{i}"] == pytest.approx(np.quantile(v, p), rel=1e-12)
+
+
+def test_first_rows_by_cut_point(spark, monkeypatch, rows):
+    df = spark.range(500).selectExpr("id % 7 AS a", "id AS b").repartition(5)
+    want = rows(df.orderBy("a", "b").limit(123))
+    monkeypatch.setattr(ordered, "_TOP_IN_ONE_TASK", 10)
+    assert rows(ordered.first_rows(df, ["a", "b"], 123)) == want
+    assert ordered.first_rows(df, ["a", "b"], 600).count() == 500
+
+
 def test_prefix_totals_over_many_slices(spark):
     rng = random.Random(3)
     cells = [(g, float(v), rng.randint(1, 9)) for g in "abc" for v in rng.sample(range(1000), 200)]

@@ -6,13 +6,13 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,29 +227,37 @@ def param_rows(spark, results: Sequence[tuple[Mapping[str, object], float]]) ->
 
 
 def _cross_validated(
-    df: DataFrame, candidates: Sequence[Mapping[str, object]], make: Callable[..., Pipeline], label: str, fold: str, folds: int, parallel: int
+    df: DataFrame,
+    candidates: Sequence[Mapping[str, object]],
+    make: Callable[..., Pipeline],
+    label: str,
+    fold: str,
+    folds: int,
+    parallel: int,
 ) -> DataFrame:
     """Mean AUC over the folds for every candidate.
 
-    Each candidate sets its values on the last stage of one shared pipeline.
+    Candidates differ in their classifier only, so each fold is prepared once, on its own
+    training rows, and every candidate is fitted on that. Folds run side by side.
     """
     stored = materialise(df, "search")
-    base = make(**candidates[0])
-    prepare, assemble, classifier = base.getStages()
-    grids = []
-    for candidate in candidates:
-        wanted = make(**candidate).getStages()[-1]
-        grids.append({getattr(classifier, p.name): wanted.getOrDefault(p) for p in wanted.params if wanted.isSet(p)})
+    pipelines = [make(**candidate).getStages() for candidate in candidates]
+    prepare, assemble, classifier = pipelines[0]
+    grids = [{getattr(classifier, p.name): c.getOrDefault(p) for p in c.params if c.isSet(p)} for *_, c in pipelines]
+    weight = classifier.getOrDefault("weightCol") if classifier.isDefined("weightCol") else None
     judge = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0)
-    search = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=grids,
-        evaluator=judge,
-        numFolds=folds,
-        foldCol=fold,
-        parallelism=parallel,
-    )
-    means = search.fit(stored).avgMetrics
+    columns = [label, assemble.getOutputCol(), *([weight] if weight else [])]
+
+    def one_fold(f: int) -> list[float]:
+        train, held_out = stored.where(F.col(fold) != f), stored.where(F.col(fold) == f)
+        shape = Pipeline(stages=[prepare, assemble]).fit(train)
+        train, held_out = (materialise(shape.transform(d).select(*columns), "fold") for d in (train, held_out))
+        found = dict(classifier.fitMultiple(train, grids))
+        return [judge.evaluate(found[i].transform(held_out)) for i in range(len(candidates))]
+
+    with ThreadPool(parallel) as pool:
+        per_fold = pool.map(one_fold, range(folds))
+    means = [sum(aucs) / folds for aucs in zip(*per_fold, strict=True)]
     return param_rows(df.sparkSession, list(zip(candidates, means, strict=True)))
 
 

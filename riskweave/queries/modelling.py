@@ -13,8 +13,9 @@ from ..plans import features as P
 from ..plans import scoring as score_plan
 from ..session import scratch_path
 from ..sources import sinks
-from .bindings import source, sources
-from .registry import query, tidy
+from .bindings import source, sources, with_sources
+from .evaluation import models
+from .registry import ORACLES, query, tidy
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
 FEATURES = [
@@ -125,26 +126,42 @@ def explain_trees_query(spark, sf):
     return exploded.select(KEY, (F.col("rank") + 1).alias("rank"), "f.*")
 
 
-@query("model_info")
+@query(
+    "model_info",
+    with_sources("application")
+    + f""" SELECT 'logistic' AS model_type, '0.46' AS threshold, CAST(count(*) - (count(*) + 4) // 5 AS VARCHAR) AS training_samples,
+  CAST((count(*) + 4) // 5 AS VARCHAR) AS test_samples, {len(FEATURES)} AS n_features FROM application""",
+)
 def model_info(spark, sf):
     table = splits.split_stratified(training_table(spark, sf), KEY, LABEL)
     counts = table.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["split"]: r["n"] for r in counts}
     path = scratch_path(spark, "runs")
-    info = {"threshold": scoring.THRESHOLD, "training_samples": sizes["train"], "test_samples": sizes["test"]}
-    sinks.sink_run_metrics(sinks.run_rows(spark, "champion", info, {"model_type": "logistic"}), path)
+    metrics_of_run = {"threshold": scoring.THRESHOLD, "training_samples": sizes["train"], "test_samples": sizes["test"]}
+    for run in ("baseline", "champion"):
+        rows = sinks.run_rows(spark, run, metrics_of_run, {"model_type": "logistic"}, {"split_type": "stratified"})
+        sinks.sink_run_metrics(rows, path)
     keys = ["model_type", "threshold", "training_samples", "test_samples"]
     return sinks.model_info(spark.read.parquet(path), "champion", keys, len(FEATURES))
 
 
-@query("sink_run_metrics")
-def sink_run_metrics(spark, sf):
-    from .evaluation import models
+_RUN_METRICS = ["auc_mean", "auc_std", "average_precision", "recall", "precision", "f1", "threshold", "cost", "fn", "fp"]
+
 
+@query(
+    "sink_run_metrics",
+    " UNION ALL ".join(
+        f"SELECT model AS run, 'metric' AS kind, '{m}' AS key, CAST({m} AS DOUBLE) AS value, 'stratified' AS split_type "
+        f"FROM ({ORACLES['metrics_table']}) q"
+        for m in _RUN_METRICS
+    ),
+)
+def sink_run_metrics(spark, sf):
     table = metrics.metrics_table(models(spark, sf), "label", "score", "model", "fold")
     path = scratch_path(spark, "runs")
     sinks.sink_run_metrics(sinks.metrics_to_runs(table, "model", {"split_type": "stratified"}), path)
-    return spark.read.parquet(path).select("run", "kind", "key", "value", F.to_json("tags").alias("tags"))
+    value = F.col("value").cast("double").alias("value")
+    return spark.read.parquet(path).select("run", "kind", "key", value, F.col("tags")["split_type"].alias("split_type"))
 
 
 @query("clean_dataset")

@@ -78,9 +78,20 @@ def log_source_json(spark, sf):
     return _shown(readers.log_source_json(call_lines(spark, sf)))
 
 
-@query("log_sink_json")
+@query(
+    "log_sink_json",
+    _LINEAR
+    + """, o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS call, o_custkey * 2 AS id FROM orders)
+SELECT call, count(*) AS n_requested, count(p.SK_ID_CURR) AS n_scored, count(*) - count(p.SK_ID_CURR) AS n_not_found,
+  count(CASE WHEN p >= 0.46::DOUBLE THEN 1 END) AS n_refused, round(coalesce(sum(round(p, 4)), 0), 4) AS score_sum,
+  CAST(coalesce(sum(CASE WHEN p.SK_ID_CURR IS NULL THEN id END), 0) AS BIGINT) AS unknown_id_sum
+FROM o LEFT JOIN p ON o.id = p.SK_ID_CURR GROUP BY call""",
+)
 def log_sink_json(spark, sf):
-    """Batch calls: the orders of a day ask for their customers, unknown ids included."""
+    """Batch calls: the orders of a day ask for their customers, unknown ids included.
+
+    The lines are written, read back and added up per call.
+    """
     orders = table(spark, sf, "orders")
     ids = orders.select(
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("call"),
@@ -99,7 +110,20 @@ def log_sink_json(spark, sf):
     )
     path = scratch_path(spark, "call-log")
     sinks.log_sink_json(lines, path)
-    return spark.read.text(path)
+    records = readers.log_source_json(spark.read.text(path))
+    unknown = F.aggregate("not_found", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    sums = records.select("timestamp", unknown.alias("unknown"), "n_requested").join(
+        logs.call_measures(records).groupBy("timestamp").agg(
+            F.sum("n_scored").alias("n_scored"),
+            F.sum("n_not_found").alias("n_not_found"),
+            F.sum("n_refused").alias("n_refused"),
+            F.round(F.sum("score_sum"), 4).alias("score_sum"),
+        ),
+        "timestamp",
+    )
+    return sums.groupBy(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("call"), "n_scored", "n_not_found", "n_refused", "score_sum"
+    ).agg(F.sum("n_requested").alias("n_requested"), F.sum("unknown").alias("unknown_id_sum"))
 
 
 # ---- the log as a stream ----------------------------------------------------------------

@@ -72,7 +72,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     names = args or list(QUERIES)
-    spark = local_session(8)
+    spark = local_session(8, int(os.environ.get("PARTITIONS", "8")))
     con = connect(sf_dir)
     failed = 0
     for name in names:

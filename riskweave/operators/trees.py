@@ -2,8 +2,9 @@
 
 A leaf is reached through at most ``depth`` distinct features. Whether a row meets the leaf's
 bounds on each of them is a bit pattern, and the leaf's share of every Shapley value depends on
-that pattern alone. The shares of all patterns are tabulated once per model; explaining a row is
-then a handful of comparisons and look-ups per leaf. Rows never meet: no shuffle.
+that pattern alone. A task tabulates the patterns of a leaf and then needs a handful of
+comparisons and look-ups per row. Rows never meet: no shuffle. Only the leaves travel, a few
+numbers per leaf and feature.
 """
 
 from __future__ import annotations
@@ -23,39 +24,44 @@ from ..session import scratch_path
 from .explain import factor_direction
 
 
+# Pattern tables of a model up to this size are kept for the whole task.
+_TABLE_BYTES = 64 * 2**20
+
+
 @dataclass
 class Leaf:
-    """Bounds ``low < x <= high`` per feature on the path, and the share table.
+    """Value of a leaf; per feature on its path the bounds ``low < x <= high`` and the cover.
 
-    ``shares[pattern, j]`` is what the leaf adds to the value of its j-th feature.
+    ``covers[k]`` is the share of training rows that pass the conditions on feature k.
     """
 
+    value: float
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    shares: np.ndarray
+    covers: np.ndarray
 
 
-def shapley_shares(value: float, covers: Sequence[float]) -> np.ndarray:
-    """Contribution of one leaf to each of its m features, for all 2**m patterns.
+def shapley_shares(value: float, covers: np.ndarray) -> np.ndarray:
+    """What a leaf adds to each of its m features, one row per pattern of met features.
 
-    ``covers[k]`` is the share of training rows that pass the leaf's conditions on feature k.
     In a coalition a feature inside it counts as met or not, one outside by its cover.
+    ``by_size[:, s]`` sums the products over all coalitions of s other features.
     """
     m = len(covers)
+    met = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
     weights = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
-    table = np.zeros((2**m, m))
-    for pattern in range(2**m):
-        met = [(pattern >> k) & 1 for k in range(m)]
-        for j in range(m):
-            by_size = np.zeros(m)
-            by_size[0] = 1.0
-            for k in range(m):
-                if k != j:
-                    inside = np.concatenate([[0.0], by_size[:-1]]) * met[k]
-                    by_size = by_size * covers[k] + inside
-            table[pattern, j] = value * (met[j] - covers[j]) * float(np.dot(by_size, weights))
-    return table
+    shares = np.empty((2**m, m))
+    for j in range(m):
+        by_size = np.zeros((2**m, m))
+        by_size[:, 0] = 1.0
+        for k in range(m):
+            if k != j:
+                inside = by_size[:, :-1] * met[:, k : k + 1]
+                by_size *= covers[k]
+                by_size[:, 1:] += inside
+        shares[:, j] = value * (met[:, j] - covers[j]) * (by_size @ weights)
+    return shares
 
 
 def model_leaves(spark: SparkSession, model: GBTClassificationModel) -> tuple[list[Leaf], float]:
@@ -82,14 +88,8 @@ def model_leaves(spark: SparkSession, model: GBTClassificationModel) -> tuple[li
                 covers = [path_bounds[f][2] for f in names]
                 base += value * math.prod(covers)
                 if names:
-                    leaves.append(
-                        Leaf(
-                            np.array(names),
-                            np.array([path_bounds[f][0] for f in names]),
-                            np.array([path_bounds[f][1] for f in names]),
-                            shapley_shares(value, covers),
-                        )
-                    )
+                    low, high = ([path_bounds[f][side] for f in names] for side in (0, 1))
+                    leaves.append(Leaf(value, np.array(names), np.array(low), np.array(high), np.array(covers)))
                 continue
             feature = node["split"]["featureIndex"]
             cut = node["split"]["leftCategoriesOrThreshold"][0]
@@ -101,15 +101,22 @@ def model_leaves(spark: SparkSession, model: GBTClassificationModel) -> tuple[li
     return leaves, base
 
 
-def row_values(x: np.ndarray, leaves: Sequence[Leaf], width: int) -> np.ndarray:
+def leaf_tables(leaves: Sequence[Leaf]) -> list[np.ndarray] | None:
+    """The pattern tables of all leaves, unless together they would be too large to keep."""
+    size = sum(8 * len(leaf.covers) * 2 ** len(leaf.covers) for leaf in leaves)
+    return [shapley_shares(leaf.value, leaf.covers) for leaf in leaves] if size <= _TABLE_BYTES else None
+
+
+def row_values(x: np.ndarray, leaves: Sequence[Leaf], tables: list[np.ndarray] | None, width: int) -> np.ndarray:
     """Shapley values (rows x features) of a block of rows."""
     phi = np.zeros((len(x), width))
-    for leaf in leaves:
+    for i, leaf in enumerate(leaves):
         z = x[:, leaf.features]
         met = (z > leaf.low) & (z <= leaf.high)
         pattern = met @ (1 << np.arange(len(leaf.features)))
+        shares = tables[i] if tables else shapley_shares(leaf.value, leaf.covers)
         # the features of one leaf are distinct, so the indexed addition is safe
-        phi[:, leaf.features] += leaf.shares[pattern]
+        phi[:, leaf.features] += shares[pattern]
     return phi
 
 
@@ -128,8 +135,10 @@ def explain_trees(
     inputs_of = np.arange(len(inputs)) % n
 
     def explain(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaves = shared.value
+        tables = leaf_tables(leaves)
         for block in blocks:
-            phi = row_values(block[inputs].to_numpy(dtype="float64"), shared.value, len(inputs))
+            phi = row_values(block[inputs].to_numpy(dtype="float64"), leaves, tables, len(inputs))
             merged = np.zeros((len(block), n))
             np.add.at(merged.T, inputs_of, phi.T)
             out = block[keep].copy()

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from riskweave.operators import splits, training
-from riskweave.operators.trees import explain_trees, model_leaves, shapley_shares, top_factors
+from riskweave.operators.trees import explain_trees, leaf_tables, model_leaves, row_values, shapley_shares, top_factors
 from riskweave.plans import cleaning
 from riskweave.session import materialise
 
@@ -91,7 +91,7 @@ def brute_shapley(value, covers, met):
 
 def test_shares_match_the_definition():
     covers = [0.2, 0.7, 0.5, 0.9]
-    table = shapley_shares(1.7, covers)
+    table = shapley_shares(1.7, np.array(covers))
     for pattern in range(16):
         met = [(pattern >> k) & 1 for k in range(4)]
         assert table[pattern] == pytest.approx(brute_shapley(1.7, covers, met))
@@ -107,6 +107,9 @@ def test_tree_values_add_up_to_the_model(spark, table):
     gaps = phi.join(raw, "k").select(F.abs(total - F.col("raw")).alias("gap")).toPandas()["gap"]
     assert len(gaps) == 240 and gaps.max() < 1e-9
     leaves, base = model_leaves(spark, model.stages[-1])
+    x = np.random.default_rng(1).normal(0, 1, (50, 6))
+    kept = row_values(x, leaves, leaf_tables(leaves), 6)
+    assert np.allclose(kept, row_values(x, leaves, None, 6))
     assert base == pytest.approx(phi.first()["base"]) and leaves
     best = phi.select(top_factors("phi", FEATURES, 2).alias("f"), "phi").first()
     order = sorted(zip(FEATURES, best["phi"], strict=True), key=lambda p: -abs(p[1]))

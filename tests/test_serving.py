@@ -1,6 +1,8 @@
 """Lookup, decision, explanation and the scoring log, batch and stream."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,7 +149,11 @@ def test_a_large_call_is_spread_over_lines_and_stays_whole(spark):
 
 
 def write_lines(folder, name, records):
+    """A log file; files are streamed by age, so each is made a minute younger than the last."""
+    age = 60 * (100 - len(list(folder.iterdir())))
     (folder / name).write_text("".join(json.dumps(r) + "\n" for r in records))
+    then = time.time() - age
+    os.utime(folder / name, (then, then))
 
 
 def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):

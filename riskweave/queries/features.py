@@ -33,7 +33,9 @@ def sql_ratio(a: str, b: str) -> str:
     )
 
 
-def sql_tidy(x: str, digits: int = 6) -> str:
+def sql_tidy(x: str, digits: int | None = 6) -> str:
+    if digits is None:
+        return f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN CAST({x} AS DOUBLE) END"
     return f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN round(CAST({x} AS DOUBLE), {digits}) END"
 
 
@@ -54,7 +56,7 @@ def sql_agg(fn: str, x: str, cond: str | None = None) -> str:
 def places(name: str) -> int:
     """Decimals to compare: fewer for variances of large amounts."""
     if name.endswith("_VAR"):
-        return 4 if "DAYS_CREDIT" in name else 3 if "AMT_" in name else 6
+        return 4 if "DAYS_CREDIT" in name else 5 if "AMT_" in name else 6
     return 6
 
 
@@ -566,7 +568,7 @@ def ratio_ieee(spark, sf):
     return tidy(grouped, digits=6)
 
 
-def _select_sql(relation: str, keys: list[str], columns: list[str], digits: int = 6) -> str:
+def _select_sql(relation: str, keys: list[str], columns: list[str], digits: int | None = None) -> str:
     return f"SELECT {', '.join(keys)}, " + ", ".join(f"{sql_tidy(c, digits)} AS {c}" for c in columns) + f" FROM {relation}"
 
 
@@ -579,16 +581,16 @@ _APP_RATIOS = [
 def app_ratios(spark, sf):
     app = source(spark, sf, "application").where(N.not_sentinel("CODE_GENDER"))
     app = app.withColumn("DAYS_EMPLOYED", N.sentinel_to_null("DAYS_EMPLOYED"))
-    return tidy(P.application_ratios(app).select("SK_ID_CURR", *_APP_RATIOS), digits=6)
+    return tidy(P.application_ratios(app).select("SK_ID_CURR", *_APP_RATIOS), digits=None)
 
 
-@query("row_mean", APPLICATION + _select_sql("enriched", KEY, ["EXT_SOURCE_MEAN"]))
+@query("row_mean", APPLICATION + _select_sql("enriched", KEY, ["EXT_SOURCE_MEAN"], 6))
 def row_mean(spark, sf):
     app = source(spark, sf, "application").where(N.not_sentinel("CODE_GENDER"))
     return tidy(P.external_scores(app).select("SK_ID_CURR", "EXT_SOURCE_MEAN"), digits=6)
 
 
-@query("row_std", APPLICATION + _select_sql("enriched", KEY, ["EXT_SOURCE_STD"]))
+@query("row_std", APPLICATION + _select_sql("enriched", KEY, ["EXT_SOURCE_STD"], 6))
 def row_std(spark, sf):
     app = source(spark, sf, "application").where(N.not_sentinel("CODE_GENDER"))
     return tidy(P.external_scores(app).select("SK_ID_CURR", "EXT_SOURCE_STD"), digits=6)
@@ -606,7 +608,7 @@ def row_std(spark, sf):
 )
 def bureau_ratios(spark, sf):
     q = P.bureau_ratios(source(spark, sf, "bureau"))
-    return tidy(q.select("SK_ID_BUREAU", "DEBT_PERCENTAGE", "OVERDUE_PERCENTAGE"), digits=6)
+    return tidy(q.select("SK_ID_BUREAU", "DEBT_PERCENTAGE", "OVERDUE_PERCENTAGE"), digits=None)
 
 
 @query(
@@ -615,11 +617,11 @@ def bureau_ratios(spark, sf):
 )
 def prev_ratios(spark, sf):
     q = P.previous_ratios(source(spark, sf, "previous_application"))
-    return tidy(q.select("SK_ID_PREV", "CREDIT_APP_PERC", "DOWN_PAYMENT_CREDIT_RATIO"), digits=6)
+    return tidy(q.select("SK_ID_PREV", "CREDIT_APP_PERC", "DOWN_PAYMENT_CREDIT_RATIO"), digits=None)
 
 
 def _payments(spark, sf, *columns):
-    return tidy_double(P.payment_columns(source(spark, sf, "installments")).select("SK_ID_CURR", *columns), KEY, 6)
+    return tidy_double(P.payment_columns(source(spark, sf, "installments")).select("SK_ID_CURR", *columns), KEY, None)
 
 
 @query("payment_ratio_diff", PAYMENTS + _select_sql("pay", KEY, ["PAYMENT_PERC", "PAYMENT_DIFF"]))
@@ -650,7 +652,7 @@ def late_flag(spark, sf):
 )
 def card_utilisation(spark, sf):
     q = P.card_utilisation(source(spark, sf, "credit_card"))
-    return tidy(q.select("SK_ID_PREV", "BALANCE_LIMIT_RATIO"), digits=6)
+    return tidy(q.select("SK_ID_PREV", "BALANCE_LIMIT_RATIO"), digits=None)
 
 
 @query(
@@ -750,11 +752,10 @@ def _lineitem_ratio(spark, sf):
 
 @query(
     "inf_to_null",
-    _RATIO_ROWS + f"SELECT l_orderkey, l_linenumber, {sql_tidy('ratio', 6)} AS ratio FROM q",
+    _RATIO_ROWS + f"SELECT l_orderkey, l_linenumber, {sql_tidy('ratio', None)} AS ratio FROM q",
 )
 def inf_to_null(spark, sf):
-    cleaned = profile.inf_to_null(_lineitem_ratio(spark, sf))
-    return cleaned.withColumn("ratio", F.round("ratio", 6))
+    return profile.inf_to_null(_lineitem_ratio(spark, sf))
 
 
 @query(

@@ -19,7 +19,7 @@ from .registry import query, table, tidy
 # Every event is one call: a new-client score, or free text for an error.
 _CALLS = """
 SELECT event_id AS call_id, ts, user_id AS client_id, event_type,
-  value / (value + 30) AS score, round(value, 2) AS latency_ms
+  value / (value + 30) AS score, value / 7 AS latency_ms
 FROM {events}
 """
 _CALLS_SQL = "WITH calls AS (" + _CALLS.format(events="events") + ")"

@@ -38,19 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy(df: DataFrame, keys: Sequence[str] = (), digits: int | Callable[[str], int] = 4) -> DataFrame:
-    """Comparable output: fractions finite and rounded, other columns as they are."""
+def tidy(df: DataFrame, keys: Sequence[str] = (), digits: int | Callable[[str], int] | None = 4) -> DataFrame:
+    """Comparable output: fractions finite and rounded (unless ``digits`` is None), other columns as they are."""
     places = digits if callable(digits) else lambda _: digits
     columns = []
     for field in df.schema.fields:
         c = quoted(field.name)
         if field.name not in keys and isinstance(field.dataType, T.FractionalType):
-            c = f"round(CASE WHEN abs({c}) < double('inf') THEN {c} END, {places(field.name)}) AS {c}"
+            finite = f"CASE WHEN abs({c}) < double('inf') THEN {c} END"
+            c = f"{finite} AS {c}" if digits is None else f"round({finite}, {places(field.name)}) AS {c}"
         columns.append(c)
     return df.selectExpr(*columns)
 
 
-def tidy_double(df: DataFrame, keys: Sequence[str] = (), digits: int | Callable[[str], int] = 4) -> DataFrame:
+def tidy_double(
+    df: DataFrame, keys: Sequence[str] = (), digits: int | Callable[[str], int] | None = 4
+) -> DataFrame:
     """As ``tidy``, with every numeric column outside ``keys`` as a double."""
     columns = [
         f"CAST({quoted(f.name)} AS DOUBLE) AS {quoted(f.name)}"

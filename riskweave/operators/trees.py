@@ -10,11 +10,13 @@ numbers per leaf and feature.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,9 @@ from ..session import scratch_path
 from .explain import factor_direction
 
 
+# The helpers travel inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Pattern tables of a model up to this size are kept for the whole task.
 _TABLE_BYTES = 64 * 2**20
 
@@ -130,12 +135,10 @@ def explain_trees(
     prepare, assemble, trees = model.stages
     inputs = assemble.getInputCols()
     leaves, base = model_leaves(df.sparkSession, trees)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
     n, keep = len(features), list(keep)
     inputs_of = np.arange(len(inputs)) % n
 
     def explain(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves = shared.value
         tables = leaf_tables(leaves)
         for block in blocks:
             phi = row_values(block[inputs].to_numpy(dtype="float64"), leaves, tables, len(inputs))

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -140,3 +142,14 @@ def test_cleaning_drops_for_each_reason(spark):
     assert cleaned.count() == 900
     assert dict(cleaned.dtypes)["flag"] == "int"
     assert cleaned.where("ratio = double('inf')").count() == 0
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """What a task runs must load in a Python that cannot import this package."""
+    from pyspark import cloudpickle
+
+    from riskweave.operators.moments import _block_sums
+
+    load = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
+    for work in (row_values, leaf_tables, _block_sums(None)):
+        subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(work), cwd=tmp_path, check=True)

@@ -163,20 +163,26 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs ``x, y`` with x < y of the distinct long column ``fp`` at most ``distance`` bits apart."""
     total, both = bit_statistics(fps)
     plan = probe_plan(total, both, distance)
-    entry = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, (m, _) in enumerate(plan)])
+    long = lambda v: F.lit(v).cast("long")
+    entry = F.array(
+        *[
+            F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(long(mask)).alias("value"))
+            for i, (mask, _) in enumerate(plan)
+        ]
+    )
     index = fps.select(F.col("fp").alias("y"), F.inline(entry))
     probes = [
         fps.select(
             F.col("fp").alias("x"),
             F.lit(i).alias("part"),
-            F.explode(F.expr(f"transform(array({','.join(f'{c}L' if c != -(1 << 63) else 'long(-9223372036854775808)' for c in changes)}), c -> c ^ (fp & long({mask})))")).alias("value"),
-        )
+            F.explode(F.array(*map(long, changes))).alias("change"),
+        ).select("x", "part", F.col("x").bitwiseAND(long(mask)).bitwiseXOR(F.col("change")).alias("value"))
         for i, (mask, changes) in enumerate(plan)
     ]
     probe = probes[0]
     for other in probes[1:]:
         probe = probe.unionByName(other)
-    found = probe.join(index, ["part", "value"]).where("x < y").where(F.bit_count(F.col("x").bitwiseXOR("y")) <= distance)
+    found = probe.join(index, ["part", "value"]).where("x < y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
     return found.select("x", "y").distinct()
 
 

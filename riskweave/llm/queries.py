@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import quality, simhash
+from . import mixing, packing, quality, sharding, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> tuple[str, str]:
+    """Files of the public byte-level vocabulary: for ``tokenizers``, and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,3 +49,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, table(spark, sf_dir, "labels")).select(
         "doc_id", *quality.COUNTS, "score", "base_failed", "kept"
     )
+
+
+@query("op4_extendible_sharding", sharding.shards_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pfair_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(documents).select("doc_id", "source", "start_byte", "block", "slot")
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary())

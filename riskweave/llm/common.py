@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the n + 1 places where its texts begin; a null text is empty."""
+    """Bytes of a string or binary column and the n + 1 places where its texts begin; a null text is empty."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    texts, kind = (texts.cast(pa.large_binary()), np.int64) if wide else (texts.cast(pa.binary()), np.int32)
     if texts.null_count:
-        texts = texts.fill_null("")
-    if pa.types.is_large_string(texts.type):
-        kind = np.int64
-    else:
-        texts, kind = texts.cast(pa.string()), np.int32
+        texts = texts.fill_null(b"")
     _, offsets, data = texts.buffers()
     places = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
@@ -153,3 +152,15 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``, after which the shuffle files of finished jobs are let go.
+
+    Spark removes them when the driver's garbage collector finds their plans unused, which can take
+    long; jobs of many steps would keep all of them on disk until then.
+    """
+    out = materialise(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import mixing, packing, quality, sharding, simhash, urls, vectors
+from . import mixing, packing, quality, repeats, sharding, simhash, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_suffix_repeats")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = "aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.expr(removed).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op4_extendible_sharding", sharding.shards_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))

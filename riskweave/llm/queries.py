@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import mixing, packing, quality, repeats, sharding, simhash, urls, vectors
+from . import mixing, packing, pii, quality, repeats, sharding, simhash, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    text = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    count = "cast(size(filter(spans, s -> s.base and s.kind = '{0}')) as long) AS n_{0}"
+    return found.selectExpr(
+        "doc_id",
+        *[count.format(kind) for kind in pii.KINDS],
+        f"sha2({text.format('filter(spans, s -> s.base)')}, 256) AS base_sha256",
+        f"{text.format('spans')} AS spans",
+    )
+
+
 @query("op4_extendible_sharding", sharding.shards_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))

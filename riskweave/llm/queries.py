@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import mixing, packing, pii, quality, repeats, sharding, simhash, urls, vectors
+from . import lines, mixing, packing, pii, quality, repeats, sharding, simhash, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.size("dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.array_sort("dropped"), ",").alias("dropped"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_suffix_repeats")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))

@@ -5,10 +5,13 @@ is cut into subspaces, each coded by its nearest of 256 centroids. Every vector
 could share a link with: a table of its distances to all subspace centroids turns codes into
 approximate distances, and what these cannot rule out is ranked by the exact cosine in double precision.
 
-Both filters use bounds, so no link is lost. A code's distance differs from the true one by at most the
-length of what the code leaves out, which is stored. Two linked vectors of different lists lie on either
-side of the plane between the lists' centroids, so one of them is within half their distance of it:
-a vector probes the lists whose plane is that near, and a pair counts from the nearer side.
+A code's distance differs from the true one by at most the length of what the code leaves out, which
+is stored, so the codes lose no link. Two linked vectors of different lists lie on either side of the
+plane between the lists' centroids, so one of them is within half their distance of it. A vector
+probes the lists whose plane is near, and a pair counts from the nearer side. The difference of two
+vectors points anywhere; its part across a plane is about its length over the root of the
+dimensions. So SPREAD times that is near enough for all but few links (none were lost on the test
+tables); ``spread=None`` probes up to half the distance, which loses none at all.
 """
 
 from __future__ import annotations
@@ -20,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .common import bound_batches, column, components
+from .common import bound_batches, column, components, settle
 
 COSINE = 0.9
 #: Vectors that the centroids are fitted on, lowest hash of the id first. All vectors are indexed.
@@ -31,6 +33,8 @@ CODES = 256
 #: Aimed-at vectors of a list; the number of lists follows the number of vectors up to SAMPLE / 16.
 LIST_SIZE = 256
 ITERATIONS = 8
+#: Distances of the plane that probing allows for, in typical parts of a link across a plane (halved).
+SPREAD = 3.0
 #: Entries of a list, and searches of it, that meet in one task; more of them meet block by block.
 BLOCK = 2048
 #: Searches whose distance tables are in memory at a time.
@@ -86,20 +90,11 @@ def _rows(values: pa.Array, dimensions: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
 
 
-def unit_vectors(embeddings: DataFrame, dimensions: int) -> DataFrame:
-    """``vec_id, unit`` of the usable rows of ``embeddings(vec_id, embedding)``, scaled to length one."""
-
-    def run(batches):
-        for batch in batches:
-            x = _rows(column(batch, "embedding"), dimensions)
-            peak = np.abs(x).max(axis=1, initial=0)
-            scaled = x / peak[:, None]  # first, lest squares leave the range of doubles
-            unit = scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None] + 0.0  # no negative zero
-            ends = pa.array(np.arange(0, unit.size + 1, dimensions, dtype=np.int32))
-            values = pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), values], ["vec_id", "unit"])
-
-    return usable(embeddings, dimensions).mapInArrow(run, "vec_id long, unit array<double>")
+def _unit(values: pa.Array, dimensions: int) -> np.ndarray:
+    """Rows scaled to length one, in double precision."""
+    x = _rows(values, dimensions)
+    scaled = x / np.abs(x).max(axis=1, initial=0)[:, None]  # first, lest squares leave the range of doubles
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
 def usable(embeddings: DataFrame, dimensions: int) -> DataFrame:
@@ -108,17 +103,15 @@ def usable(embeddings: DataFrame, dimensions: int) -> DataFrame:
         f"size(embedding) = {dimensions} and forall(embedding, x -> x is not null and abs(x) < double('inf'))"
         " and exists(embedding, x -> x <> 0)"
     )
-    return embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
-        F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))
-    )
+    return embeddings.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", "embedding")
 
 
-def encoded(units: DataFrame, q: Quantiser, dimensions: int) -> DataFrame:
-    """``vec_id, unit, copies, list, code, left_out``: the index entry of every distinct vector."""
+def encoded(vectors: DataFrame, q: Quantiser, dimensions: int) -> DataFrame:
+    """``vec_id, embedding, copies, list, code, left_out``: the index entry of every distinct vector."""
 
     def run(batches):
         for batch in batches:
-            x = _rows(column(batch, "unit"), dimensions)
+            x = _unit(column(batch, "embedding"), dimensions)
             own = _nearest(x.astype(np.float32), q.coarse)
             left = _folded(x - q.coarse[own])
             code = np.stack([_nearest(left[:, s], q.books[s]) for s in range(SUBSPACES)], axis=1)
@@ -130,8 +123,9 @@ def encoded(units: DataFrame, q: Quantiser, dimensions: int) -> DataFrame:
                 names=[*batch.schema.names, "list", "code", "left_out"],
             )
 
-    return units.mapInArrow(
-        run, "vec_id long, unit array<double>, copies long, list int, code binary, left_out double"
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("vec_id", "embedding", "copies").mapInArrow(
+        run, f"vec_id long, embedding {kind}, copies long, list int, code binary, left_out double"
     )
 
 
@@ -143,9 +137,14 @@ def _behind(x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x - middle, way) / np.maximum(length, 1e-12)
 
 
-def probes(index: DataFrame, q: Quantiser, dimensions: int, cosine: float) -> DataFrame:
-    """``list, vec_id, unit, copies, own`` for each list that a vector searches; ``own`` is the list it is in."""
-    reach = np.sqrt(2 - 2 * cosine) / 2 + SLACK
+def reach(cosine: float, dimensions: int, spread: float | None) -> float:
+    """How far behind the plane to a list's centroid a vector probes the list."""
+    half = np.sqrt(2 - 2 * cosine) / 2
+    return float(half * (1 if spread is None else min(1.0, spread / np.sqrt(dimensions))) + SLACK)
+
+
+def probes(index: DataFrame, q: Quantiser, dimensions: int, near: float) -> DataFrame:
+    """``list, vec_id, embedding, copies, own`` for each list that a vector searches; ``own`` is the list it is in."""
     squares = (q.coarse.astype(np.float64) ** 2).sum(axis=1)
     apart = squares[:, None] + squares[None, :] - 2 * q.coarse.astype(np.float64) @ q.coarse.T
     apart = np.sqrt(np.maximum(apart, 1e-12))
@@ -154,21 +153,22 @@ def probes(index: DataFrame, q: Quantiser, dimensions: int, cosine: float) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = _rows(column(part, "unit"), dimensions)
+                x = _unit(column(part, "embedding"), dimensions)
                 own = column(part, "list").to_numpy()
                 rows = np.arange(len(x))
                 far = squares[None, :] - 2 * x @ q.coarse.T  # squared distances, less the length of x
                 behind = (far - far[rows, own][:, None]) / (2 * apart[own])
                 behind[rows, own] = 0
-                row, target = np.nonzero(behind <= reach)
+                row, target = np.nonzero(behind <= near)
                 picked = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(target.astype(np.int32)), *picked.columns],
-                    names=["list", "vec_id", "unit", "copies", "own"],
+                    names=["list", "vec_id", "embedding", "copies", "own"],
                 )
 
-    return index.select("vec_id", "unit", "copies", "list").mapInArrow(
-        run, "list int, vec_id long, unit array<double>, copies long, own int"
+    kind = index.schema["embedding"].dataType.simpleString()
+    return index.select("vec_id", "embedding", "copies", "list").mapInArrow(
+        run, f"list int, vec_id long, embedding {kind}, copies long, own int"
     )
 
 
@@ -193,14 +193,13 @@ def search(asked: pa.RecordBatch, entries: pa.RecordBatch, q: Quantiser, cosine:
     smallest id of its component here.
     """
     dimensions = q.coarse.shape[1]
-    reach = np.sqrt(2 - 2 * cosine)
-    x, y = _rows(column(asked, "unit"), dimensions), _rows(column(entries, "unit"), dimensions)
+    x, y = _unit(column(asked, "embedding"), dimensions), _unit(column(entries, "embedding"), dimensions)
     x_id, y_id = (column(t, "vec_id").to_numpy() for t in (asked, entries))
     x_copies, y_copies = (column(t, "copies").to_numpy() for t in (asked, entries))
     own = column(asked, "own").to_numpy()
     centre = int(column(entries, "list")[0].as_py())
     code = np.frombuffer(b"".join(column(entries, "code").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-    bound = (reach + SLACK + column(entries, "left_out").to_numpy()).astype(np.float32) ** 2
+    bound = (np.sqrt(2 - 2 * cosine) + SLACK + column(entries, "left_out").to_numpy()).astype(np.float32) ** 2
     pairs = []
     for at in range(0, len(x), TABLES):
         left = _folded(x[at : at + TABLES] - q.coarse[centre])
@@ -241,21 +240,20 @@ def _dealt(rows: DataFrame, name: str, others: str, sizes: DataFrame) -> DataFra
     )
 
 
-def links(units: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """``vec_id, n, root`` of the distinct vectors ``units(vec_id, unit, copies)`` that have links.
+def links(vectors: DataFrame, dimensions: int, cosine: float = COSINE, spread: float | None = SPREAD) -> DataFrame:
+    """``vec_id, n, root`` of the distinct ``vectors(vec_id, embedding, copies)`` that have links.
 
     A vector appears once for each task that found links of it: ``n`` adds up to its links, and the pairs
     ``vec_id, root`` join the same components as the links do.
     """
-    sample = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("unit").collect()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     if not sample:
-        return units.sparkSession.createDataFrame([], "vec_id long, n long, root long")
-    dimensions = len(sample[0][0])
-    q = fit(np.array([r[0] for r in sample], np.float32), units.count())
-    index = materialise(encoded(units, q, dimensions), "vector-index")
-    asked = materialise(probes(index, q, dimensions, cosine), "vector-probes")
-    count = lambda rows, name: rows.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias(f"n_{name}"))
-    sizes = count(index, "block").join(count(asked, "part"), "list")
+        return vectors.sparkSession.createDataFrame([], "vec_id long, n long, root long")
+    q = fit(_unit(pa.array([r[0] for r in sample]), dimensions).astype(np.float32), vectors.count())
+    index = settle(encoded(vectors, q, dimensions), "vector-index")
+    asked = probes(index, q, dimensions, reach(cosine, dimensions, spread))
+    blocks = lambda rows, name: rows.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias(f"n_{name}"))
+    sizes = settle(blocks(index, "block").join(blocks(asked, "part"), "list"), "vector-lists")
     keys = ["list", "block", "part"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -272,7 +270,7 @@ def links(units: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
 
 
-def vector_classes(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
+def vector_classes(embeddings: DataFrame, cosine: float = COSINE, spread: float | None = SPREAD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``embeddings(vec_id, embedding)``.
 
     Vectors with cosine at or above ``cosine`` are linked, whatever their length. Null and zero vectors,
@@ -280,29 +278,28 @@ def vector_classes(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     a null component and are not kept. Rows with the same id count as one vector (the smallest); all
     rows are returned. Vectors must agree in their number of components. Other columns are ignored.
     """
-    spark = embeddings.sparkSession
-    bound_batches(spark)
+    bound_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     lengths = rows.select(F.size("embedding").alias("d")).where("d > 0").distinct().limit(2).collect()
     if len(lengths) > 1:
         raise ValueError("vectors differ in their number of components")
     dimensions = lengths[0][0] if lengths else 1
-    vectors = unit_vectors(rows, dimensions).groupBy("vec_id").agg(F.min("unit").alias("unit"))
-    vectors = materialise(vectors, "unit-vectors")
-    units = vectors.groupBy("unit").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    units = materialise(units, "distinct-vectors")
-    found = materialise(links(units.select(F.col("first").alias("vec_id"), "unit", "copies"), cosine), "vector-links")
+    single = usable(rows, dimensions).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # copies are searched for once
+    copies = single.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    vectors = settle(copies, "distinct-vectors")
+    found = settle(links(vectors, dimensions, cosine, spread), "vector-links")
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vector-components")
     classes = (
-        units.join(found.groupBy(F.col("vec_id").alias("first")).agg(F.sum("n").alias("n")), "first", "left")
-        .join(groups.withColumnRenamed("node", "first"), "first", "left")
+        vectors.join(found.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left")
+        .join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
         .select(
-            "unit",
+            "embedding",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "first").alias("component_id"),
+            F.coalesce("component", "vec_id").alias("component_id"),
         )
     )
-    each = vectors.join(classes, "unit").select("vec_id", "n_links", "component_id")
+    each = single.join(classes, "embedding").select("vec_id", "n_links", "component_id")
     return (
         rows.select("vec_id")
         .join(each, "vec_id", "left")

@@ -147,7 +147,7 @@ def thresholds(total: int, both: np.ndarray, groups: list[list[int]], distance:
 def probe_plan(total: int, both: np.ndarray, distance: int) -> list[tuple[int, list[int]]]:
     """Per partition in use: the mask of its bits, and the changes that a probe applies to them."""
     choices = []
-    for parts in range(1, distance + 2):
+    for parts in range(1, distance + 2):  # the first has all bits in one partition, and very many probes
         groups = group_bits(total, both, parts)
         choices.append((*thresholds(total, both, groups, distance), groups))
     _, most, groups = min(choices, key=lambda c: c[0])
@@ -162,6 +162,7 @@ def probe_plan(total: int, both: np.ndarray, distance: int) -> list[tuple[int, l
 def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs ``x, y`` with x < y of the distinct long column ``fp`` at most ``distance`` bits apart."""
     total, both = bit_statistics(fps)
+    total = max(total, 2)  # estimates of no rows would all be alike
     plan = probe_plan(total, both, distance)
     long = lambda v: F.lit(v).cast("long")
     entry = F.array(

@@ -72,15 +72,14 @@ def schedule(shares: Mapping[str, int], blocks: Mapping[str, int]) -> list[Phase
     phases, slot = [], 0
     while left:
         order = cycle_order({s: shares[s] for s in left})
-        whole = min(n // shares[s] for s, n in left.items())
+        whole = min((n - 1) // shares[s] for s, n in left.items())
         taken = {s: whole * shares[s] for s in left}
         length = whole * len(order)
-        if all(taken[s] < n for s, n in left.items()):
-            for s, _ in order:
-                taken[s] += 1
-                length += 1
-                if taken[s] == left[s]:
-                    break
+        for s, _ in order:
+            taken[s] += 1
+            length += 1
+            if taken[s] == left[s]:
+                break
         phases.append(Phase(slot, len(order), {s: (done[s], n, shares[s]) for s, n in taken.items()}, order))
         slot += length
         for s, n in taken.items():

@@ -104,7 +104,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-@query("op8_vector_near_dedup")
+@query("op8_vector_near_dedup", vectors.CLASSES_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_classes(table(spark, sf_dir, "embeddings"))
 

@@ -310,3 +310,23 @@ def vector_classes(embeddings: DataFrame, cosine: float = COSINE, spread: float
         )
         .withColumn("kept", F.expr("coalesce(vec_id = component_id, false)"))
     )
+
+
+#: ``vector_classes`` in DuckDB, for distinct ids: all pairs, then all that can be reached.
+CLASSES_SQL = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+  ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= {COSINE}),
+reached AS (
+  SELECT a, b AS c FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.c),
+classes AS (SELECT a, min(c) AS c FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.c, e.vec_id)) AS component_id,
+       coalesce(e.vec_id = least(e.vec_id, coalesce(c.c, e.vec_id)), false) AS kept
+FROM embeddings e LEFT JOIN counts n ON n.a = e.vec_id LEFT JOIN classes c ON c.a = e.vec_id
+"""

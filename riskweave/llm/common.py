@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import scratch_path
 
 #: Bytes of text worked on at a time; a longer text is one slice of its own.
 SLICE_BYTES = 2 << 20
@@ -134,7 +134,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     neighbours is spread over tasks. Each round is a table in the shared folder. Rows with a null
     end and loops are ignored; nodes without an edge do not appear.
     """
-    now = materialise(
+    now = settle(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
     )
     state = None
@@ -148,7 +148,8 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        before, now = now, settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
@@ -160,7 +161,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     Spark removes them when the driver's garbage collector finds their plans unused, which can take
     long; jobs of many steps would keep all of them on disk until then.
     """
-    out = materialise(df, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no unfinished plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

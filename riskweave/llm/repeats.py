@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, mix, pair_hash, settle, slices, text_buffer
+from .common import bound_batches, column, discard, mix, pair_hash, settle, slices, text_buffer
 
 LENGTH = 200
 SEED_BYTES = 32
@@ -266,26 +266,32 @@ def repeated_windows(documents: DataFrame, length: int = LENGTH, seed_bytes: int
         .distinct(),
         "repeat-whole",
     )
+    discard(seeds, shared)
     split = contexts.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     open_contexts = settle(context_texts(texts, contexts.join(split, "seed", "left_semi"), length), "repeat-texts")
+    discard(contexts)
     # second refinement: runs of offsets; a context known to be there twice counts so
-    blocks = settle(block_rows(open_contexts, length), "repeat-blocks")
+    every = settle(block_rows(open_contexts, length), "repeat-blocks")
     keys = ["seed", "block", "inner"]
     buckets = (
-        blocks.groupBy(*keys)
+        every.groupBy(*keys)
         .agg(F.sum(F.expr("if(twice, 2, 1)")).alias("n"), F.min("outer").alias("one"), F.max("outer").alias("other"))
         .where("n > 1")
         .select(*keys, F.expr("one = other").alias("alike"))
     )
-    blocks = settle(blocks.join(buckets, keys).drop("inner", "outer"), "repeat-runs")
+    blocks = settle(every.join(buckets, keys).drop("inner", "outer"), "repeat-runs")
+    discard(every)
     runs = blocks.where("alike and not twice").selectExpr("doc_id", "row", "place - high AS first", "place - low AS last")
     # last refinement: windows of the runs whose buckets are still mixed
     mixed = blocks.where("not alike").groupBy("seed", "context").agg(F.collect_set("block").alias("blocks"))
     windows = settle(window_rows(open_contexts.join(mixed, ["seed", "context"]), length), "repeat-windows")
+    discard(open_contexts)
     again = windows.groupBy("seed", "window").agg(F.sum(F.expr("if(twice, 2, 1)")).alias("n")).where("n > 1")
     single = windows.where("not twice").join(again.select("seed", "window"), ["seed", "window"], "left_semi")
     single = single.selectExpr("doc_id", "row", "start AS first", "start AS last")
-    return settle(whole.unionByName(runs).unionByName(single), "repeat-found")
+    found = settle(whole.unionByName(runs).unionByName(single), "repeat-found")
+    discard(whole, blocks, windows)
+    return found
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_BYTES) -> DataFrame:

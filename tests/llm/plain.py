@@ -130,7 +130,8 @@ def dropped_lines(rows, distance=3, similarity=0.8, least=5):
     """Per (id, text) with distinct ids: places of the dropped lines."""
     lines = [(i, k, normal_words(line)) for i, text in rows for k, line in enumerate((text or "").split("\n"))]
     lines = sorted(x for x in lines if len(x[2]) >= least)
-    prints = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in words]) for *_, words in lines]
+    pair = lambda a, b: xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+    prints = [majority([pair(a, b) for a, b in zip(words, words[1:], strict=False)]) for *_, words in lines]
     groups = Groups()
     for a in range(len(lines)):
         groups.find(a)

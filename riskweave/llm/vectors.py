@@ -8,10 +8,7 @@ approximate distances, and what these cannot rule out is ranked by the exact cos
 A code's distance differs from the true one by at most the length of what the code leaves out, which
 is stored, so the codes lose no link. Two linked vectors of different lists lie on either side of the
 plane between the lists' centroids, so one of them is within half their distance of it. A vector
-probes the lists whose plane is near, and a pair counts from the nearer side. The difference of two
-vectors points anywhere; its part across a plane is about its length over the root of the
-dimensions. So SPREAD times that is near enough for all but few links (none were lost on the test
-tables); ``spread=None`` probes up to half the distance, which loses none at all.
+probes the lists whose plane is that near, and a pair counts from the nearer side, so no link is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +30,9 @@ CODES = 256
 #: Aimed-at vectors of a list; the number of lists follows the number of vectors up to SAMPLE / 16.
 LIST_SIZE = 256
 ITERATIONS = 8
-#: Distances of the plane that probing allows for, in typical parts of a link across a plane (halved).
-SPREAD = 3.0
+#: Distances of the plane that probing allows for, in typical parts of a link across a plane (halved), which takes
+#: differences to point anywhere; None allows for half the distance of a link and loses none.
+SPREAD = None
 #: Entries of a list, and searches of it, that meet in one task; more of them meet block by block.
 BLOCK = 2048
 #: Searches whose distance tables are in memory at a time.

@@ -67,3 +67,14 @@ def test_codes_bound_the_distance():
     apart = np.linalg.norm(a - b, axis=1)
     behind = vectors._behind(a, own, other) + vectors._behind(b, other, own)
     assert (behind <= apart + 1e-6).all()
+
+
+def test_production_reach_on_few_strong_directions(spark):
+    rng = np.random.default_rng(9)
+    # 4,000 vectors for 15 lists
+    x = rng.normal(size=(4000, 64)) * np.arange(1, 65) ** -1.5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.vector_classes(df).collect()}
+    assert got == dict(enumerate(n.tolist()))

@@ -30,8 +30,8 @@ def _hash(text: str) -> str:
 BITS = f"concat(lpad(bin(head), {KEY_BITS}, '0'), lpad(bin(tail), {KEY_BITS}, '0'))"
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, head, tail`` per row: two hashes of KEY_BITS.
+def keyed(documents: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_bytes, head, tail`` and the columns ``more`` per row: two hashes of KEY_BITS.
 
     ``head`` depends on the id alone. ``tail`` tells apart rows that share an id, which would
     never part on the key's bits.
@@ -42,9 +42,10 @@ def keyed(documents: DataFrame) -> DataFrame:
         F.expr(_hash("coalesce(cast(doc_id as string), '')")).alias("head"),
         F.expr("coalesce(md5(text), '')").alias("digest"),
         F.monotonically_increasing_id().alias("row"),
+        *more,
     )
     return rows.select(
-        "doc_id", "n_bytes", "head", F.expr(_hash("concat(head, digest, cast(row as string))")).alias("tail")
+        "doc_id", "n_bytes", "head", F.expr(_hash("concat(head, digest, cast(row as string))")).alias("tail"), *more
     )
 
 
@@ -96,31 +97,36 @@ def shards(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     row that does. Rows with equal ids (also null) share a shard while it fits, then part on
     further bits. Other columns are ignored.
     """
-    rows = materialise(keyed(documents), "shard-rows").withColumn("bits", F.expr(BITS))
+    return placed_rows(documents, limit)
+
+
+def placed_rows(documents: DataFrame, limit: int, *more: str) -> DataFrame:
+    """What ``shards`` gives, with the columns ``more`` of ``documents``."""
+    rows = materialise(keyed(documents, *more), "shard-rows").withColumn("bits", F.expr(BITS))
     leaves = materialise(directory(rows, limit), "shard-leaves")
     deepest = leaves.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return rows.selectExpr("doc_id", "n_bytes", "'' AS shard", "0 AS depth", "n_bytes AS shard_bytes")
+        return rows.selectExpr("doc_id", "n_bytes", "'' AS shard", "0 AS depth", "n_bytes AS shard_bytes", *more)
     # a row's leaf is at one of the depths that the directory has
     depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]
     probes = rows.select("*", F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth")).withColumn(
         "prefix", F.expr("left(bits, depth)")
     )
     return probes.join(leaves, ["depth", "prefix"]).select(
-        "doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", "shard_bytes"
+        "doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", "shard_bytes", *more
     )
 
 
 def write_shards(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Write the rows of ``documents`` below ``path``, a folder per shard, and return what ``shards`` does.
 
-    Rows go to their shard by id, so ids must be unique and not null.
+    Ids may be null or repeated: each row has a number of its own, by which it goes to its shard.
     """
-    placed = materialise(shards(documents, limit), "shard-places")
-    documents.join(placed.select("doc_id", F.concat(F.lit("s"), "shard").alias("shard_folder")), "doc_id").repartition(
-        "shard_folder"
-    ).write.partitionBy("shard_folder").parquet(path)
-    return placed
+    rows = materialise(documents.withColumn("shard_row", F.monotonically_increasing_id()), "shard-documents")
+    placed = materialise(placed_rows(rows, limit, "shard_row"), "shard-places")
+    folders = placed.select("shard_row", F.concat(F.lit("s"), "shard").alias("shard_folder"))
+    rows.join(folders, "shard_row").drop("shard_row").repartition("shard_folder").write.partitionBy("shard_folder").parquet(path)
+    return placed.drop("shard_row")
 
 
 def shards_sql(limit: int = LIMIT) -> str:

@@ -41,6 +41,18 @@ def test_written_shards(spark, tmp_path):
     assert {r[0]: r[1][1:] for r in back.select("doc_id", F.col("shard_folder").cast("string")).collect()} == placed
 
 
+def test_written_shards_of_odd_rows(spark, tmp_path):
+    rows = [(7, "x" * 100)] * 50 + [(None, "y" * 10)] * 30 + [(i, None) for i in range(100, 120)] + [(1000, "z" * 5000)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), 400)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    size, members = Counter(), Counter()
+    for r in back:
+        size[r.shard_folder] += len(r.text or "")
+        members[r.shard_folder] += 1
+    assert all(size[s] <= 400 or members[s] == 1 for s in size)
+
+
 def shares():
     rng = random.Random(4)
     for _ in range(30):

@@ -210,7 +210,19 @@ def simhash_classes(documents: DataFrame, words: int = WORDS, distance: int = DI
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows whose id is the smallest of their component, once each; rows without an id stay."""
-    kept = simhash_classes(documents, words, distance).where("doc_id = component_id").select("doc_id").distinct()
-    first = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(documents.where("doc_id is null"))
+    """One row of each component: that of the lowest id (null last) and, of these, the lowest hash of the row.
+
+    All rows carry links here, also those that share an id or have none.
+    """
+    keyed = documents.withColumn("_row", F.xxhash64(*documents.columns))
+    # a row is told by its hash, as its id need not tell it
+    each = materialise(fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text"), words), "simhash-rows")
+    prints = each.select("fp").distinct()
+    pairs = near_pairs(prints, distance).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = components(pairs, "simhash-links")
+    classes = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("class"))
+    named = each.distinct().join(classes, "fp").select(F.col("doc_id").alias("_row"), "class")
+    ranks = keyed.select("_row", "doc_id").distinct().join(named, "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("first")
+    kept = ranks.groupBy("class").agg(first).select("first._row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

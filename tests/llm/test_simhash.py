@@ -80,3 +80,10 @@ def test_thresholds_add_up(total):
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, most = simhash.thresholds(total, both, groups, 4)
         assert sum(t + 1 for t in most) == 5
+
+
+def test_one_row_a_component_whatever_the_ids(spark):
+    one, two, three = "a b c d e", "quite another text with words of its own", "and a third that is like neither one"
+    rows = [(4, one), (4, two), (4, two), (9, one), (None, one), (None, three), (None, three), (7, two)]
+    got = [tuple(r) for r in simhash.drop_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()]
+    assert sorted(got, key=repr) == sorted([(4, one), (4, two), (None, three)], key=repr)

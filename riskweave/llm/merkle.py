@@ -98,8 +98,8 @@ def blocked(nodes: DataFrame) -> DataFrame:
     return blocks.withColumn("levels", F.expr(f"aggregate(sequence(1, {DEPTH}), {first}, (acc, k) -> {above})"))
 
 
-def climb(nodes: DataFrame) -> DataFrame:
-    """``grp, pos, hash, load, path, top`` of ``nodes(grp, pos, total, hash, load)``.
+def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``grp, pos, hash, load, path, top`` of ``nodes(grp, pos, total, hash, load)``, and ``grp, top``.
 
     ``path`` holds per level the digests left and right of the node in its run, ``top`` the root of the group.
     """
@@ -115,7 +115,7 @@ def climb(nodes: DataFrame) -> DataFrame:
             F.expr("element_at(levels, -1)").alias("hash"),
             F.lit(None).cast("string").alias("load"),
         )
-        ends = ends.unionByName(climb(upper).select("grp", F.col("pos").alias("block"), "top", F.col("path").alias("above")))
+        ends = ends.unionByName(climb(upper)[0].select("grp", F.col("pos").alias("block"), "top", F.col("path").alias("above")))
     powers = ", ".join(str(ARITY**k) for k in range(DEPTH))
     at = f"(m.pos % {_BLOCK} div array({powers})[k])"
     left = f"substring(levels[k], cast({at} div {ARITY} * {_RUN} + 1 as int), cast({at} % {ARITY} * {DIGEST} as int))"
@@ -124,7 +124,7 @@ def climb(nodes: DataFrame) -> DataFrame:
     path = f"if(size(levels) > 1, concat({own}, above), above)"
     member = f"struct(m.pos AS pos, m.hash AS hash, m.load AS load, {path} AS path)"
     found = blocks.join(ends, ["grp", "block"]).select("grp", "top", F.explode(F.expr(f"transform(members, m -> {member})")).alias("m"))
-    return found.select("grp", "m.*", "top")
+    return found.select("grp", "m.*", "top"), ends.where("block = 0").select("grp", "top")
 
 
 def manifest(documents: DataFrame, fields: tuple[str, ...] = FIELDS, **carried: Column) -> DataFrame:
@@ -146,10 +146,9 @@ def manifest(documents: DataFrame, fields: tuple[str, ...] = FIELDS, **carried:
     )
     leaves = settle(leaves, "merkle-leaves")
     ordered = numbered(leaves, "grp", ["id", "hash", "row"]).select("grp", "pos", "total", "hash", "load")
-    low = climb(ordered)
-    # its place in the order is all that a source needs: one row each
-    roots = low.where("pos = 0").select(F.lit("").alias("grp"), F.col("grp").alias("load"), F.col("top").alias("hash"))
-    high = climb(numbered(roots, "grp", ["load"]).select("grp", "pos", "total", "hash", "load"))
+    low, tops = climb(ordered)
+    roots = tops.select(F.lit("").alias("grp"), F.col("grp").alias("load"), F.col("top").alias("hash"))
+    high, _ = climb(numbered(roots, "grp", ["load"]).select("grp", "pos", "total", "hash", "load"))
     high = high.select(F.col("load").alias("grp"), F.col("path").alias("above"), F.col("top").alias("root"))
     return low.join(high, "grp").select(
         "load.doc_id",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import lines, merkle, mixing, packing, pii, quality, repeats, sharding, simhash, urls, vectors
+from . import lines, merkle, mixing, packing, pii, quality, repeats, sharding, simhash, tokenfiles, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_merkle_manifest", merkle.REPORT_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proof_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), *vocabulary())

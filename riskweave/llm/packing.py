@@ -34,6 +34,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: point below 0x10000. Texts with others, and those with a special token, go to the full tokenizer.
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
 SPECIAL = "<|"
+#: The pattern steps back over a run of white space, which a run of about a million overflows; such texts too go to the
+#: full tokenizer.
+LONG_RUN = re.compile(r"\s{100000}")
 
 
 def encoder(tokenizer_file: str, ranks_file: str | None = None) -> Callable[[str], np.ndarray]:
@@ -57,7 +60,7 @@ def encoder(tokenizer_file: str, ranks_file: str | None = None) -> Callable[[str
     fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if SPECIAL in text or not text.isascii() and BEYOND.search(text):
+        if SPECIAL in text or not text.isascii() and BEYOND.search(text) or len(text) >= 100_000 and LONG_RUN.search(text):
             return slow(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

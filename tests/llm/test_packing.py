@@ -101,3 +101,14 @@ def test_pack(spark):
         at[r.sequence_id] = r.offset + r.length
     assert max(at.values()) <= 64 and len(at) <= 1.05 * sum(at.values()) / 64
     assert packing.pack(spark.createDataFrame([], SCHEMA), *vocabulary()).collect() == []
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x " + "\t" * 150_000 + "y"])
+def test_long_runs(spark, run):
+    """A run of about a million spaces is more than the splitting pattern can step back over."""
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(vocabulary()[0]).encode(run, add_special_tokens=False).ids
+    assert packing.encoder(*vocabulary())(run).tolist() == want
+    rows = packing.pack(spark.createDataFrame([(1, run), (2, "b")], SCHEMA), *vocabulary()).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == len(want) + 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import lines, merkle, mixing, packing, pii, quality, repeats, sharding, simhash, tokenfiles, urls, vectors
+from . import lines, merkle, mixing, packing, phrases, pii, quality, repeats, sharding, simhash, tokenfiles, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_files")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+@query("op11_phrase_collocations", phrases.COLLOCATIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -5,11 +5,10 @@ below it as the phrase has occurrences. The tree of a large corpus fits no memor
 prefixes of two words are counted first, those that are too rare are cut off, and a prefix with more
 suffixes than a task should hold is extended by one word, again and again. Prefixes are then dealt to groups
 by their hash, as many groups as keep each within the budget, and every group builds its subtrees from
-its own suffixes alone: sorted, a node is a run of them, and its count the total of their leaves. Counts
-of the prefixes that were extended come from the partitioning itself.
+its own suffixes alone: sorted, a node is a run of them, and its count the total of their leaves.
 
-Texts are read once for the words, once for the prefixes and once for the suffixes. Equal suffixes of a task are one
-row with a count before anything is shuffled. Words are told apart by 64-bit hashes of language and word.
+Texts are read for the words, for the prefixes (once more for each extension) and for the suffixes. Equal suffixes of a
+task are one with a count before anything is shuffled, and travel as one row per task and group. Words are told apart by 64-bit hashes of language and word.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ MAX_WORDS = 5
 TOP = 2000
 #: Suffixes that a group may hold; a prefix with more is extended.
 BUDGET = 1 << 18
+#: Parts of a language that are ranked on their own first.
+PARTS = 64
 #: Distinct suffixes, prefixes or words that a task counts before it hands them on.
 HELD = 1 << 20
 #: Largest filter of frequent words or prefixes, in bits. A full filter lets more through; counts stay exact.
@@ -165,7 +167,7 @@ class Tally:
         return rows, counts
 
 
-# ---- the three readings of the texts ----------------------------------------------------
+# ---- readings of the texts ----------------------------------------------------
 
 
 def word_counts(texts: DataFrame, least: int) -> DataFrame:
@@ -236,8 +238,35 @@ def _pairs(scanned: Scanned, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return there, hashes
 
 
-def prefix_counts(texts: DataFrame, words: np.ndarray, least: int) -> DataFrame:
-    """``h``, hashes of the pairs of frequent words that occur at least so often."""
+def _chain(keys: np.ndarray, there: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the suffixes that begin at ``at``, word after word: the word, 0 where the suffix has ended, and the hash so far."""
+    # beyond the end of the slice no pair is there
+    keys = np.concatenate([keys, np.zeros(MAX_WORDS, np.uint64)])
+    there = np.concatenate([there, np.zeros(MAX_WORDS, bool)])
+    whole, going = keys[at], np.ones(len(at), bool)
+    yield whole, whole
+    for k in range(1, MAX_WORDS):
+        going = going & there[at + k - 1]
+        word = np.where(going, keys[at + k], np.uint64(0))
+        whole = pair_hash(whole, word)
+        yield word, whole
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array ``known``."""
+    at = np.searchsorted(known, hashes)
+    out = np.zeros(len(hashes), bool)
+    inside = at < len(known)
+    out[inside] = known[at[inside]] == hashes[inside]
+    return out
+
+
+def prefix_counts(texts: DataFrame, words: np.ndarray, prefixes: np.ndarray | None = None, extended: tuple[np.ndarray, ...] = ()) -> DataFrame:
+    """``h, n``: hashes of prefixes and how often they occur.
+
+    Without ``extended`` these are the pairs of frequent words; with the sorted hashes of the extended prefixes of 2, 3, ...
+    words they are those with one word more than the longest of them.
+    """
 
     def run(batches):
         tally = Tally()
@@ -248,93 +277,97 @@ def prefix_counts(texts: DataFrame, words: np.ndarray, least: int) -> DataFrame:
 
         for scanned, _ in scan(batches):
             there, hashes = _pairs(scanned, words)
-            tally.add(hashes[there], hashes[there])
+            found = hashes[there]
+            if extended:
+                there &= passes(prefixes, hashes)
+                steps = list(_chain(scanned.keys, there, np.flatnonzero(there & _among(hashes, extended[0]))))
+                deep = np.ones(len(steps[0][0]), bool)
+                for (_, whole), known in zip(steps[1:], extended, strict=False):
+                    deep &= _among(whole, known)
+                word, whole = steps[len(extended) + 1]
+                found = whole[deep & (word != 0)]
+            tally.add(found, found)
             if tally.full():
                 yield rows()
         if tally.held:
             yield rows()
 
-    each = texts.mapInArrow(run, "h long, n long")
-    return each.groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {least}").select("h")
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def partition(texts: DataFrame, words: np.ndarray, prefixes: np.ndarray, pairs: DataFrame, budget: int) -> tuple[list[np.ndarray], int]:
+    """The sorted hashes of the prefixes of 2, 3, 4 words that are extended, and the number of groups.
+
+    A prefix is extended if it has more suffixes than the budget, or than a quarter of a task's share of all. So at
+    most suffixes / budget hashes of each length, or four for each task, come to the driver.
+    """
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    width = shuffle_width(texts.sparkSession)
+    most = max(1, min(budget, total // (4 * width)))
+    extended, counted = [], pairs
+    while len(extended) < MAX_WORDS - 2:
+        heavy = counted.where(F.col("n") > most).select("h").toArrow()["h"].to_numpy().view(np.uint64)
+        if not len(heavy):
+            break
+        extended.append(np.sort(heavy))
+        if len(extended) < MAX_WORDS - 2:
+            counted = prefix_counts(texts, words, prefixes, tuple(extended))
+    return extended, max(4 * width, -(-2 * total // budget))
 
 
 W = [f"w{i}" for i in range(1, MAX_WORDS + 1)]
+_RUN = ", ".join(f"{c} array<long>" for c in [*W, "n"])
+
 
+def suffixes(texts: DataFrame, words: np.ndarray, prefixes: np.ndarray, extended: list[np.ndarray], groups: int) -> DataFrame:
+    """``grp, depth, w1 ... w5, n``: a task's suffixes of a group and its prefixes of ``depth`` words, as columns of one row.
 
-def suffixes(texts: DataFrame, words: np.ndarray, prefixes: np.ndarray) -> DataFrame:
-    """``w1 ... w5, n``: the suffixes that begin with a frequent prefix, cut where a pair is too rare; 0 is no word."""
+    Suffixes begin with a frequent pair and are cut where a pair is too rare; 0 stands for no word.
+    """
 
     def run(batches):
         tally = Tally()
 
         def rows():
             out, counts = tally.take()
-            return pa.RecordBatch.from_arrays([*(signed(np.ascontiguousarray(c)) for c in out.T), pa.array(counts)], names=[*W, "n"])
+            dealt, depth, whole = out[:, 0], np.full(len(out), 2), out[:, 0]
+            for k in range(1, MAX_WORDS):
+                whole = pair_hash(whole, out[:, k])
+                dealt = np.where(depth == k + 1, whole, dealt)
+                if k <= len(extended):
+                    depth[(depth == k + 1) & _among(whole, extended[k - 1])] += 1
+            group = (dealt % np.uint64(groups)).astype(np.int64) * 8 + depth
+            order = np.argsort(group, kind="stable")
+            group, columns = group[order], [*out[order].T.view(np.int64), counts[order]]
+            at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            ends = np.append(at, len(group)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(c))) for c in columns]
+            heads = [pa.array(group[at] // 8), pa.array((group[at] % 8).astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*heads, *lists], names=["grp", "depth", *W, "n"])
 
         for scanned, _ in scan(batches):
             there, hashes = _pairs(scanned, words)
             there &= passes(prefixes, hashes)
-            at = np.flatnonzero(there)
-            if not len(at):
-                continue
-            # beyond the end of the slice no pair is there
-            keys = np.concatenate([scanned.keys, np.zeros(MAX_WORDS, np.uint64)])
-            there = np.concatenate([there, np.zeros(MAX_WORDS, bool)])
-            taken, whole, going = [keys[at]], keys[at], np.ones(len(at), bool)
-            for k in range(1, MAX_WORDS):
-                going = going & there[at + k - 1]
-                taken.append(np.where(going, keys[at + k], np.uint64(0)))
-                whole = pair_hash(whole, taken[-1])
-            tally.add(whole, np.stack(taken, 1))
+            steps = list(_chain(scanned.keys, there, np.flatnonzero(there)))
+            tally.add(steps[-1][1], np.stack([w for w, _ in steps], 1))
             if tally.full():
                 yield rows()
         if tally.held:
             yield rows()
 
-    return texts.mapInArrow(run, ", ".join(f"{w} long" for w in W) + ", n long")
-
-
-# ---- partitioning and subtrees ----------------------------------------------------------
-
-
-def partition(leaves: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, list[DataFrame]]:
-    """``leaves`` with ``depth``, the words of its prefix, and ``grp``; and the prefixes that were extended.
-
-    The latter are ``w1 ... wd, n`` for d = 2, 3, 4. A prefix is extended if its rows would be more than a quarter of
-    a task's share, or than the budget; there are at most rows / budget of them.
-    """
-    width = shuffle_width(leaves.sparkSession)
-    rows = leaves.count()
-    most = max(64, min(budget, rows // (4 * width)))
-    extended, within = [], leaves
-    for depth in range(2, MAX_WORDS):
-        own = W[:depth]
-        counted = within.groupBy(*own).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-        # a prefix that ends here has one leaf per task
-        heavy = settle(counted.where(f"rows > {most} and w{depth} <> 0").select(*own, "n"), "phrase-prefixes")
-        if heavy.isEmpty():
-            break
-        extended.append(heavy)
-        within = within.join(heavy.select(*own), own, "left_semi")
-    dealt = leaves
-    depth = F.lit(2)
-    for d, heavy in enumerate(extended, 2):
-        dealt = dealt.join(heavy.select(*W[:d], F.lit(1).alias(f"more{d}")), W[:d], "left")
-        depth = depth + F.coalesce(f"more{d}", F.lit(0))
-    groups = max(4 * width, -(-2 * rows // budget))
-    prefix = [F.when(F.col("depth") > i, F.col(w)) for i, w in enumerate(W)]
-    dealt = dealt.withColumn("depth", depth).withColumn("grp", F.pmod(F.xxhash64(*prefix), F.lit(groups)))
-    return dealt.select(*W, "n", "depth", "grp"), extended
+    return texts.mapInArrow(run, f"grp long, depth int, {_RUN}")
 
 
 def subtrees(dealt: DataFrame, least: int) -> DataFrame:
-    """``words, n`` of the frequent nodes below the prefixes of each group, the prefixes included."""
+    """``words, n`` of the nodes of each group: frequent ones below a prefix, and the group's part of shorter ones."""
 
     def build(table: pa.Table) -> pa.Table:
-        rows = np.stack([table[w].to_numpy() for w in W], 1)
+        flat = {c: table[c].combine_chunks().flatten().to_numpy() for c in [*W, "n"]}
+        depth = np.repeat(table["depth"].to_numpy(), pa.compute.list_value_length(table["n"]).to_numpy())
+        rows = np.stack([flat[w] for w in W], 1)
         order = np.lexsort(rows.T[::-1])
-        rows, depth = rows[order], table["depth"].to_numpy()[order]
-        leaves = np.concatenate([[0], np.cumsum(table["n"].to_numpy()[order])])
+        rows, depth = rows[order], depth[order]
+        leaves = np.concatenate([[0], np.cumsum(flat["n"][order])])
         new = np.zeros(len(rows), bool)
         new[0] = True
         words, counts = [], []
@@ -344,12 +377,14 @@ def subtrees(dealt: DataFrame, least: int) -> DataFrame:
                 continue
             at = np.flatnonzero(new)
             n = leaves[np.append(at[1:], len(rows))] - leaves[at]
-            keep = (n >= least) & (rows[at, k] != 0) & (depth[at] <= k + 1)
+            # an extended prefix has parts in several groups, which only together may be frequent
+            keep = (rows[at, k] != 0) & ((n >= least) | (depth[at] > k + 1))
             words.append(pa.array(list(rows[at[keep], : k + 1]), pa.list_(pa.int64())))
             counts.append(pa.array(n[keep]))
         return pa.table({"words": pa.chunked_array(words), "n": pa.chunked_array(counts)})
 
-    return dealt.groupBy("grp").applyInArrow(build, "words array<long>, n long")
+    found = dealt.groupBy("grp").applyInArrow(build, "words array<long>, n long")
+    return found.groupBy("words").agg(F.sum("n").alias("n")).where(f"n >= {least}")
 
 
 # ---- collocations -----------------------------------------------------------------------
@@ -362,17 +397,12 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int, budget: int) -
     """
     single = words.where("word is not null").select(F.col("key").alias("h"))
     often = bit_filter(single, single.count())
-    pairs = settle(prefix_counts(texts, often, least), "phrase-pairs")
-    begins = bit_filter(pairs, pairs.count())
+    pairs = settle(prefix_counts(texts, often).where(f"n >= {least}"), "phrase-pairs")
+    begins = bit_filter(pairs.select("h"), pairs.count())
+    extended, groups = partition(texts, often, begins, pairs, budget)
     discard(pairs)
-    leaves = settle(suffixes(texts, often, begins), "phrase-suffixes")
-    dealt, extended = partition(leaves, budget)
-    found = subtrees(dealt, least)
-    for heavy in extended:
-        found = found.unionByName(heavy.where(f"n >= {least}").select(F.array(*heavy.columns[:-1]).alias("words"), "n"))
-    out = settle(found.unionByName(words.where("word is not null").select(F.array("key").alias("words"), "n")), "phrase-counts")
-    discard(leaves, *extended)
-    return out
+    found = subtrees(suffixes(texts, often, begins, extended, groups), least)
+    return settle(found.unionByName(words.where("word is not null").select(F.array("key").alias("words"), "n")), "phrase-counts")
 
 
 #: In decimals, as the products may pass 64 bits.
@@ -403,10 +433,9 @@ def scored(counts: DataFrame, words: DataFrame) -> DataFrame:
 
 def ranked(phrases: DataFrame, words: DataFrame, top: int) -> DataFrame:
     """The first ``top`` of each language, with their text."""
-    spark = phrases.sparkSession
     # the best of each part of a language hold the best of all; ties with the last stay until the text decides
     order = [F.col("score").desc(), F.col("a").desc()]
-    part = F.pmod(F.xxhash64("words"), F.lit(4 * shuffle_width(spark)))
+    part = F.pmod(F.xxhash64("words"), F.lit(PARTS))
     best = phrases.withColumn("part", part).withColumn("place", F.rank().over(Window.partitionBy("lang", "part").orderBy(*order)))
     best = best.where(f"place <= {top}").withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order)))
     best = settle(best.where(f"place <= {top}").drop("place", "part"), "phrase-best")

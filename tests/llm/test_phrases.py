@@ -86,21 +86,25 @@ def test_small_budgets_change_nothing(spark, prose, monkeypatch):
 
 
 def test_extended_prefixes(spark):
-    """Leaves of one prefix spread over several groups; each node is counted once."""
+    """Suffixes of one prefix spread over several groups; each node is counted once."""
     rng = np.random.default_rng(3)
-    leaves = [(1, 2, *(int(x) for x in rng.integers(3, 9, 3)), 1) for _ in range(900)] + [(5, 6, 0, 0, 0, 7), (5, 6, 7, 0, 0, 7)]
-    df = spark.createDataFrame(leaves, ", ".join(f"{w} long" for w in phrases.W) + ", n long")
-    dealt, extended = phrases.partition(df, 1)
-    assert [len(e.columns) for e in extended] == [3, 4] and {r["depth"] for r in dealt.collect()} == {2, 4}
-    found = {tuple(r["words"]): r["n"] for r in phrases.subtrees(dealt, 5).collect()}
-    for heavy in extended:
-        found |= {tuple(r)[:-1]: r["n"] for r in heavy.collect()}
+    texts = ["the one " + " ".join(f"w{x}" for x in rng.integers(0, 4, 3)) for _ in range(600)] + ["a b"] * 30
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    words = phrases.word_counts(df, 5)
+    often = phrases.bit_filter(words.where("word is not null").selectExpr("key AS h"), 10)
+    pairs = phrases.prefix_counts(df, often).where("n >= 5")
+    begins = phrases.bit_filter(pairs.select("h"), pairs.count())
+    extended, groups = phrases.partition(df, often, begins, pairs, 50)
+    assert [len(e) for e in extended][0] > 1 and len(extended) > 1 and groups > 2
+    leaves = phrases.suffixes(df, often, begins, extended, groups)
+    assert {r["depth"] for r in leaves.collect()} >= {2, 4} and leaves.select("grp").distinct().count() > 10
+    names = {r["key"]: r["word"] for r in words.collect()}
+    found = {tuple(names[k] for k in r["words"]): r["n"] for r in phrases.subtrees(leaves, 5).collect()}
     want = Counter()
-    for *words, n in leaves:
-        for m in range(2, 6):
-            if words[m - 1]:
-                want[tuple(words[:m])] += n
-    assert found == {k: n for k, n in want.items() if n >= 5 or len(k) < 4}
+    for t in texts:
+        w = t.split()
+        want.update(tuple(w[i : i + m]) for m in range(2, 6) for i in range(len(w) - m + 1))
+    assert found == {k: n for k, n in want.items() if n >= 5}
 
 
 def test_ranks_and_ties(spark):

@@ -240,10 +240,10 @@ def metrics_table(scored: DataFrame, label: str, score: str, model: str, fold: s
 
 def mark_best(table: DataFrame, highest: Sequence[str], lowest: Sequence[str]) -> DataFrame:
     """Flags ``<metric>_best`` on a metrics table, one row per model."""
-    best = table.agg(*[F.max(c).alias(c) for c in highest], *[F.min(c).alias(c) for c in lowest])
-    return table.withColumns(
-        {f"{c}_best": F.col(c) == best.select(c).scalar() for c in [*highest, *lowest]}
-    )
+    # written first: the best values are a second look at it
+    table = materialise(table, "metrics")
+    best = table.agg(F.struct(*[F.max(c).alias(c) for c in highest], *[F.min(c).alias(c) for c in lowest]).alias("b")).scalar()
+    return table.withColumns({f"{c}_best": F.col(c) == best[c] for c in [*highest, *lowest]})
 
 
 def oof_test_gap(oof_mean: DataFrame, test_auc: DataFrame, by: Sequence[str]) -> DataFrame:

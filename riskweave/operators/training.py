@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
@@ -20,6 +21,7 @@ from ..functions.naming import quoted
 from ..session import materialise
 from .ordered import exact_quantiles
 from .splits import SEED, label_counts
+from .staged import fit_early_stopping
 
 # Parameters of the baseline and tuned models, and the searched values.
 LOGREG_C, LOGREG_MAX_ITER = 0.1, 1000
@@ -200,11 +202,13 @@ def cv_oof(
     fold: str = "fold",
     folds: int = 5,
     validation: str | None = None,
+    patience: int | None = None,
 ) -> DataFrame:
     """Out-of-fold scores ``(key, label, fold, score)`` for every row.
 
-    The fold-tagged table is written once and read by every fit. With ``validation`` the
-    held-out fold also serves as the stopping rows, as the boosted models ask for.
+    The fold-tagged table is written once and read by every fit. The held-out fold also serves as
+    the stopping rows of boosted models: with ``patience`` they are cut at the round of the best AUC, once
+    so many rounds bring no better one; with ``validation`` boosting stops on their loss.
     """
     stored = materialise(df, "folds")
     parts = []
@@ -214,7 +218,10 @@ def cv_oof(
             train = stored.withColumn(validation, F.col(fold) == f)
         else:
             train = stored.where(F.col(fold) != f)
-        model = make(train).fit(train)
+        if patience:
+            model, _ = fit_early_stopping(make(train), train, held_out, label, patience)
+        else:
+            model = make(train).fit(train)
         parts.append(score_with(model, held_out, [key, label, fold]))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -226,6 +233,40 @@ def param_rows(spark, results: Sequence[tuple[Mapping[str, object], float]]) ->
     return table.orderBy(F.col("auc").desc(), F.to_json("params"))
 
 
+class PreparedFolds:
+    """Folds prepared once, each on its own training rows, for candidates that differ in their classifier only."""
+
+    def __init__(self, df: DataFrame, pipeline: Pipeline, label: str, fold: str, folds: int, parallel: int):
+        prepare, assemble, self.classifier = pipeline.getStages()
+        self.label, self.parallel = label, parallel
+        weight = self.classifier.getOrDefault("weightCol") if self.classifier.isDefined("weightCol") else None
+        columns = [label, assemble.getOutputCol(), *([weight] if weight else [])]
+        stored = materialise(df, "search")
+
+        def prepared(f: int) -> tuple[DataFrame, DataFrame]:
+            train, held_out = stored.where(F.col(fold) != f), stored.where(F.col(fold) == f)
+            shape = Pipeline(stages=[prepare, assemble]).fit(train)
+            train, held_out = (materialise(shape.transform(d).select(*columns), "fold") for d in (train, held_out))
+            return train, held_out
+
+        with ThreadPool(parallel) as pool:
+            self.parts = pool.map(prepared, range(folds))
+
+    def mean_aucs(self, pipelines: Sequence[Pipeline]) -> list[float]:
+        """Mean AUC over the folds of each candidate. Folds run side by side."""
+        classifiers = [p.getStages()[-1] for p in pipelines]
+        grids = [{getattr(self.classifier, p.name): c.getOrDefault(p) for p in c.params if c.isSet(p)} for c in classifiers]
+        judge = BinaryClassificationEvaluator(labelCol=self.label, rawPredictionCol="rawPrediction", numBins=0)
+
+        def one_fold(part: tuple[DataFrame, DataFrame]) -> list[float]:
+            found = dict(self.classifier.fitMultiple(part[0], grids))
+            return [judge.evaluate(found[i].transform(part[1])) for i in range(len(grids))]
+
+        with ThreadPool(self.parallel) as pool:
+            per_fold = pool.map(one_fold, self.parts)
+        return [sum(aucs) / len(self.parts) for aucs in zip(*per_fold, strict=True)]
+
+
 def _cross_validated(
     df: DataFrame,
     candidates: Sequence[Mapping[str, object]],
@@ -235,29 +276,9 @@ def _cross_validated(
     folds: int,
     parallel: int,
 ) -> DataFrame:
-    """Mean AUC over the folds for every candidate.
-
-    Candidates differ in their classifier only, so each fold is prepared once, on its own
-    training rows, and every candidate is fitted on that. Folds run side by side.
-    """
-    stored = materialise(df, "search")
-    pipelines = [make(**candidate).getStages() for candidate in candidates]
-    prepare, assemble, classifier = pipelines[0]
-    grids = [{getattr(classifier, p.name): c.getOrDefault(p) for p in c.params if c.isSet(p)} for *_, c in pipelines]
-    weight = classifier.getOrDefault("weightCol") if classifier.isDefined("weightCol") else None
-    judge = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0)
-    columns = [label, assemble.getOutputCol(), *([weight] if weight else [])]
-
-    def one_fold(f: int) -> list[float]:
-        train, held_out = stored.where(F.col(fold) != f), stored.where(F.col(fold) == f)
-        shape = Pipeline(stages=[prepare, assemble]).fit(train)
-        train, held_out = (materialise(shape.transform(d).select(*columns), "fold") for d in (train, held_out))
-        found = dict(classifier.fitMultiple(train, grids))
-        return [judge.evaluate(found[i].transform(held_out)) for i in range(len(candidates))]
-
-    with ThreadPool(parallel) as pool:
-        per_fold = pool.map(one_fold, range(folds))
-    means = [sum(aucs) / folds for aucs in zip(*per_fold, strict=True)]
+    """Mean AUC over the folds for every candidate."""
+    pipelines = [make(**candidate) for candidate in candidates]
+    means = PreparedFolds(df, pipelines[0], label, fold, folds, parallel).mean_aucs(pipelines)
     return param_rows(df.sparkSession, list(zip(candidates, means, strict=True)))
 
 
@@ -324,12 +345,40 @@ def random_search(
     return _cross_validated(df, candidates, make, label, fold, folds, parallel)
 
 
-def refit_all(
-    df: DataFrame, pipeline: Pipeline, split: str = "split", path: str | None = None
-) -> tuple[PipelineModel, PipelineModel]:
+def two_stage_search(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    values: Mapping[str, Sequence] = TREES_SEARCH,
+    draws: int = SEARCH_DRAWS,
+    seed: int = SEED,
+    fold: str = "fold",
+    folds: int = 5,
+    parallel: int = 2,
+) -> DataFrame:
+    """Boosted trees: ``draws`` random combinations, then the local grid around the best of them.
+
+    ``(stage, params, auc)``, one row per candidate and stage, best first within a stage. Both stages share the prepared
+    folds. A candidate of the grid that was drawn before, as its centre was, keeps the AUC it has.
+    """
+
+    def make(candidate: Mapping[str, object]) -> Pipeline:
+        return gbt_train(features, label, **candidate)
+
+    drawn = draw_candidates(values, draws, seed)
+    prepared = PreparedFolds(df, make(drawn[0]), label, fold, folds, parallel)
+    known = [*zip(drawn, prepared.mean_aucs([make(c) for c in drawn]), strict=True)]
+    # the same order as that of the result: ties by the text of the parameters
+    best = min(known, key=lambda r: (-r[1], json.dumps({k: str(v) for k, v in r[0].items()}, separators=(",", ":"))))[0]
+    near = local_grid(best)
+    fresh = [c for c in near if c not in drawn]
+    known += zip(fresh, prepared.mean_aucs([make(c) for c in fresh]) if fresh else [], strict=True)
+    near_rows = [(c, next(auc for k, auc in known if k == c)) for c in near]
+    spark = df.sparkSession
+    stages = [param_rows(spark, rows).select(F.lit(n).alias("stage"), "params", "auc") for n, rows in ((1, known[: len(drawn)]), (2, near_rows))]
+    return stages[0].unionByName(stages[1])
+
+
+def refit_all(df: DataFrame, pipeline: Pipeline, split: str = "split") -> tuple[PipelineModel, PipelineModel]:
     """The model fitted on the training part, for the test score, and the one fitted on everything."""
-    on_train = pipeline.fit(df.where(F.col(split) == "train"))
-    on_all = pipeline.fit(df)
-    if path:
-        on_all.write().save(path)
-    return on_train, on_all
+    return pipeline.fit(df.where(F.col(split) == "train")), pipeline.fit(df)

@@ -1,4 +1,4 @@
-"""Training, search and tree explanation. SQL has no twin for these; tests check invariants."""
+"""Training, search, stored models and tree explanation. Fits have no SQL twin; tests check their invariants."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite_or_null
-from ..operators import metrics, scoring, splits, training
+from ..operators import metrics, scoring, splits, staged, training
 from ..operators.trees import explain_trees, top_factors
 from ..plans import cleaning
 from ..plans import features as P
 from ..plans import scoring as score_plan
+from ..schemas import RUNS
 from ..session import scratch_path
-from ..sources import sinks
+from ..sources import runs, sinks
 from .bindings import source, sources, with_sources
 from .evaluation import models
-from .registry import ORACLES, query, tidy
+from .registry import ORACLES, query, table, tidy
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
 FEATURES = [
@@ -33,6 +34,7 @@ FEATURES = [
 ]
 # Small ensembles keep the registered runs short; the defaults of the operators are the full ones.
 TREES = {"trees": 10, "rate": 0.1, "leaves": 16, "min_rows": 20}
+PATIENCE = 3
 
 
 def training_table(spark, sf):
@@ -54,9 +56,50 @@ def logreg_train(spark, sf):
 
 @query("gbt_train")
 def gbt_train(spark, sf):
-    train = training_table(spark, sf)
-    model = training.gbt_train(FEATURES, LABEL, **TREES).fit(train)
-    return tidy(training.score_with(model, train, [KEY, LABEL]))
+    """Cut at the best AUC on the first fold, scored on all."""
+    tagged = folded(spark, sf)
+    pipeline = training.gbt_train(FEATURES, LABEL, **TREES)
+    train, held_out = tagged.where("fold <> 0"), tagged.where("fold = 0")
+    model, _ = staged.fit_early_stopping(pipeline, train, held_out, LABEL, PATIENCE)
+    return tidy(training.score_with(model, tagged, [KEY, LABEL]))
+
+
+# Numbers that stand for the outputs of 64 trees: multiples of a power of two, so that their sums are exact in any order.
+_OUTPUTS = "SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END AS y, {outputs} AS outputs FROM {embeddings}"
+_STAGED_SQL = f"""WITH o AS ({_OUTPUTS.format(outputs="list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024) / 1024)", embeddings="embeddings")}),
+l AS (SELECT id, y, generate_subscripts(outputs, 1) AS round, unnest(outputs) AS x FROM o),
+m AS (SELECT round, y, sum(x) OVER (PARTITION BY id ORDER BY round) AS score FROM l),
+c AS (SELECT round, score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM m GROUP BY 1, 2),
+r AS (SELECT *, sum(pos) OVER (PARTITION BY round ORDER BY score DESC) - pos AS above FROM c),
+a AS (SELECT CAST(round AS INT) AS round, sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM r GROUP BY 1)"""
+
+
+def per_tree_outputs(spark, sf):
+    """A written table of per-tree outputs."""
+    outputs = "transform(embedding, x -> floor(CAST(x AS DOUBLE) * 1024) / 1024)"
+    rows = spark.sql(_OUTPUTS.format(outputs=outputs, embeddings="{embeddings}"), embeddings=table(spark, sf, "embeddings"))
+    path = scratch_path(spark, "outputs")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("staged_auc", _STAGED_SQL + " SELECT round, round(auc, 6) AS auc FROM a")
+def staged_auc(spark, sf):
+    return tidy(staged.staged_auc(per_tree_outputs(spark, sf), "y", 64), digits=6)
+
+
+@query(
+    "best_round",
+    _STAGED_SQL
+    + f""", b AS (SELECT *, max(auc) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
+i AS (SELECT *, max(CASE WHEN before IS NULL OR auc > before THEN round END) OVER (ORDER BY round) AS last FROM b),
+s AS (SELECT min(round) AS stopped FROM i WHERE round - last >= {PATIENCE}),
+w AS (SELECT i.*, s.stopped FROM i, s WHERE s.stopped IS NULL OR round <= s.stopped)
+SELECT round, round(auc, 6) AS auc, stopped FROM w WHERE round = last QUALIFY row_number() OVER (ORDER BY round DESC) = 1""",
+)
+def best_round(spark, sf):
+    judged = staged.staged_auc(per_tree_outputs(spark, sf), "y", 64)
+    return tidy(staged.best_round(judged, PATIENCE), digits=6)
 
 
 @query("cv_oof")
@@ -70,9 +113,9 @@ def cv_oof(spark, sf):
 @query("cv_oof_trees")
 def cv_oof_trees(spark, sf):
     def make(_):
-        return training.gbt_train(FEATURES, LABEL, validation="held_out", **{**TREES, "trees": 5})
+        return training.gbt_train(FEATURES, LABEL, **{**TREES, "trees": 5})
 
-    return tidy(training.cv_oof(folded(spark, sf), make, KEY, LABEL, validation="held_out"))
+    return tidy(training.cv_oof(folded(spark, sf), make, KEY, LABEL, patience=PATIENCE))
 
 
 @query("grid_search")
@@ -84,27 +127,45 @@ def grid_search(spark, sf):
 
 @query("random_search")
 def random_search(spark, sf):
+    """Two draws, then the grid around the better one."""
     values = {**training.TREES_SEARCH, "trees": [3, 5], "leaves": [4, 8], "rate": [0.1, 0.2]}
-    draws = training.draw_candidates(values, 2)
-    return training.random_search(folded(spark, sf), FEATURES, LABEL, draws, parallel=4)
+    tagged = splits.kfold_stratified(training_table(spark, sf), KEY, LABEL, 3)
+    return training.two_stage_search(tagged, FEATURES, LABEL, values, draws=2, folds=3, parallel=3)
+
+
+def logged_run(spark, df, run, path, model_type="logistic"):
+    """Fit on the training part of ``df``, store the run and make it the champion."""
+    train = df.where(F.col("split") == "train")
+    sizes = {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = training.logreg_train(FEATURES, LABEL, sizes["train"]).fit(train)
+    values = {"threshold": scoring.THRESHOLD, "training_samples": sizes["train"], "test_samples": sizes["test"]}
+    runs.log_run(spark, path, run, model, values, {"model_type": model_type}, {"split_type": "stratified"})
+    runs.set_alias(spark, path, run)
 
 
 @query("refit_all")
 def refit_all(spark, sf):
-    table = splits.split_stratified(training_table(spark, sf), KEY, LABEL)
-    pipeline = training.logreg_train(FEATURES, LABEL, table.count())
-    on_train, on_all = training.refit_all(table, pipeline, path=scratch_path(spark, "model"))
-    before = training.score_with(on_train, table.where(F.col("split") == "test"), [KEY, LABEL])
-    after = training.score_with(on_all, table.where(F.col("split") == "test"), [KEY])
+    """Both models are stored, loaded again and scored on the test part."""
+    df = splits.split_stratified(training_table(spark, sf), KEY, LABEL)
+    path, n = scratch_path(spark, "registry"), df.count()
+    fitted = training.refit_all(df, training.logreg_train(FEATURES, LABEL, n))
+    for run, model in zip(("on_train", "on_all"), fitted, strict=True):
+        runs.log_run(spark, path, run, model, {"training_samples": n})
+    test = df.where(F.col("split") == "test")
+    before = training.score_with(runs.load_run(spark, path, "on_train").model, test, [KEY, LABEL])
+    after = training.score_with(runs.load_run(spark, path, "on_all").model, test, [KEY])
     return tidy(before.join(after.withColumnRenamed("score", "score_all"), KEY))
 
 
 @query("score_batch")
 def score_batch(spark, sf):
-    table = training_table(spark, sf)
-    model = training.logreg_train(FEATURES, LABEL, table.count()).fit(table)
+    """Requested ids, scored with the champion as it is stored."""
+    df = training_table(spark, sf)
+    path = scratch_path(spark, "registry")
+    logged_run(spark, splits.split_stratified(df, KEY, LABEL), "logistic-1", path)
+    champion = runs.load_run(spark, path)
     ids = source(spark, sf, "bureau").select(KEY).distinct()
-    predictions, _ = score_plan.predict(ids, table, model, FEATURES)
+    predictions, _ = score_plan.predict(ids, df, champion.model, champion.features)
     return predictions
 
 
@@ -133,16 +194,10 @@ def explain_trees_query(spark, sf):
   CAST((count(*) + 4) // 5 AS VARCHAR) AS test_samples, {len(FEATURES)} AS n_features FROM application""",
 )
 def model_info(spark, sf):
-    table = splits.split_stratified(training_table(spark, sf), KEY, LABEL)
-    counts = table.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r["split"]: r["n"] for r in counts}
-    path = scratch_path(spark, "runs")
-    metrics_of_run = {"threshold": scoring.THRESHOLD, "training_samples": sizes["train"], "test_samples": sizes["test"]}
-    for run in ("baseline", "champion"):
-        rows = sinks.run_rows(spark, run, metrics_of_run, {"model_type": "logistic"}, {"split_type": "stratified"})
-        sinks.sink_run_metrics(rows, path)
-    keys = ["model_type", "threshold", "training_samples", "test_samples"]
-    return sinks.model_info(spark.read.parquet(path), "champion", keys, len(FEATURES))
+    df = splits.split_stratified(training_table(spark, sf), KEY, LABEL)
+    path = scratch_path(spark, "registry")
+    logged_run(spark, df, "logistic-1", path)
+    return runs.stored_info(spark, runs.load_run(spark, path), ["model_type", "threshold", "training_samples", "test_samples"])
 
 
 _RUN_METRICS = ["auc_mean", "auc_std", "average_precision", "recall", "precision", "f1", "threshold", "cost", "fn", "fp"]
@@ -157,11 +212,13 @@ _RUN_METRICS = ["auc_mean", "auc_std", "average_precision", "recall", "precision
     ),
 )
 def sink_run_metrics(spark, sf):
-    table = metrics.metrics_table(models(spark, sf), "label", "score", "model", "fold")
+    """Stored twice, as by a job that is repeated; one copy stays."""
+    values = metrics.metrics_table(models(spark, sf), "label", "score", "model", "fold")
     path = scratch_path(spark, "runs")
-    sinks.sink_run_metrics(sinks.metrics_to_runs(table, "model", {"split_type": "stratified"}), path)
+    for _ in range(2):
+        sinks.sink_run_metrics(sinks.metrics_to_runs(values, "model", {"split_type": "stratified"}), path)
     value = F.col("value").cast("double").alias("value")
-    return spark.read.parquet(path).select("run", "kind", "key", value, F.col("tags")["split_type"].alias("split_type"))
+    return spark.read.schema(RUNS).parquet(path).select("run", "kind", "key", value, F.col("tags")["split_type"].alias("split_type"))
 
 
 @query("clean_dataset")

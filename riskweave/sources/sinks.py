@@ -39,7 +39,12 @@ def run_rows(
 
 
 def sink_run_metrics(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Store the rows of runs, in place of any that are stored under the same names.
+
+    A run is a partition of its own, replaced as a whole: writing it again leaves one copy, and jobs
+    that write different runs at a time do not touch each other. Read with the schema ``RUNS``, or a run named like a number becomes one.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def metrics_to_runs(table: DataFrame, run: str, tags: Mapping[str, str] | None = None) -> DataFrame:
@@ -60,14 +65,6 @@ def metrics_to_runs(table: DataFrame, run: str, tags: Mapping[str, str] | None =
     )
 
 
-def model_info(runs: DataFrame, run: str, keys: list[str], n_features: int) -> DataFrame:
-    """The stored values of one run as a single row, with the number of features."""
-    chosen = runs.where(F.col("run") == run)
-    latest = [F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("logged_at"))) for k in keys]
-    row = chosen.agg(*[v.alias(k) for k, v in zip(keys, latest, strict=True)])
-    return row.withColumn("n_features", F.lit(n_features))
-
-
 def call_entries(
     scored: DataFrame, not_found: DataFrame, call: str, id_col: str = "client_id", position: str = "position"
 ) -> DataFrame:

@@ -5,6 +5,8 @@ Missing is always SQL NULL. Infinity may live between a ratio and ``finite_or_nu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,3 +114,52 @@ def guarded_ratio(a: Column, b: Column, default=None) -> Column:
 
 def sigmoid(x: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_column(x)))
+
+
+def log_gamma(a: Column) -> Column:
+    """Logarithm of the gamma function for positive ``a``: Stirling's series at ``a + 16``, stepped back."""
+    z = a + F.lit(16.0)
+    steps = F.lit(0.0)
+    for k in range(16):
+        steps = steps + F.log(a + F.lit(float(k)))
+    series = F.lit(1 / 12) / z - F.lit(1 / 360) / F.pow(z, F.lit(3.0)) + F.lit(1 / 1260) / F.pow(z, F.lit(5.0))
+    return (z - F.lit(0.5)) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - steps
+
+
+def gamma_tail(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x) for positive ``a`` and ``x >= 0``.
+
+    Below ``a + 1`` by the power series of its complement, above by the continued fraction; both take a number of
+    steps that grows with the root of ``a``.
+    """
+    steps = F.sequence(F.lit(1), (F.lit(200.0) + F.lit(10.0) * F.sqrt(a)).cast("int"))
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+
+    def term(acc: Column, n: Column) -> Column:
+        t = acc["t"] * x / (a + n)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    first = F.lit(1.0) / a
+    series = F.aggregate(steps, F.struct(first.alias("t"), first.alias("s")), term, lambda acc: acc["s"])
+
+    def fraction(acc: Column, n: Column) -> Column:
+        tiny = F.lit(1e-300)
+        away = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+        an, b = -n * (n - a), acc["b"] + F.lit(2.0)
+        d = F.lit(1.0) / away(an * acc["d"] + b)
+        c = away(b + an / acc["c"])
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    b = x + F.lit(1.0) - a
+    # evaluated below a + 1 too, where it is not used but must not fail
+    d = F.lit(1.0) / F.greatest(b, F.lit(0.5))
+    start = F.struct(b.alias("b"), F.lit(1e300).alias("c"), d.alias("d"), d.alias("h"))
+    tail = F.aggregate(steps, start, fraction, lambda acc: acc["h"])
+    upper = F.when(x < a + F.lit(1.0), F.lit(1.0) - front * series).otherwise(front * tail)
+    return F.when(x <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), upper)))
+
+
+def chi_square_tail(chi2: Column, dof: Column) -> Column:
+    """Chance of a chi-square value this high or higher; 1 without a degree of freedom."""
+    half = F.greatest(dof, F.lit(1)).cast("double") / F.lit(2.0)
+    return F.when(chi2.isNull() | dof.isNull(), F.lit(None)).when(dof < 1, F.lit(1.0)).otherwise(gamma_tail(half, chi2 / F.lit(2.0)))

@@ -473,6 +473,30 @@ def chi_square_drift(spark, sf):
     return tidy(drift.chi_square_drift(sliced_events(spark, sf), "event_type"))
 
 
+_CATEGORIES = ["event_type", "hour", "day", "k"]
+
+
+@query(
+    "chi_square_report",
+    _DRIFT
+    + ", l AS ("
+    + " UNION ALL ".join(f"SELECT slice, '{c}' AS feature, CAST({c} AS VARCHAR) AS category FROM d WHERE {c} IS NOT NULL" for c in _CATEGORIES)
+    + """), o AS (SELECT feature, category, count(CASE WHEN slice = 'reference' THEN 1 END) AS r, count(CASE WHEN slice = 'current' THEN 1 END) AS q FROM l GROUP BY 1, 2),
+w AS (SELECT *, (r + q) * sum(r) OVER (PARTITION BY feature) / CAST(sum(r + q) OVER (PARTITION BY feature) AS DOUBLE) AS er,
+  (r + q) * sum(q) OVER (PARTITION BY feature) / CAST(sum(r + q) OVER (PARTITION BY feature) AS DOUBLE) AS eq FROM o),
+t AS (SELECT feature, sum((r - er) * (r - er) / er + (q - eq) * (q - eq) / eq) AS chi2, count(*) - 1 AS dof FROM w GROUP BY 1),
+-- the tail of an even number of degrees is a finite sum, of an odd one the same with the error function
+g AS (SELECT *, CASE WHEN dof % 2 = 0 THEN list_sum(list_transform(range(0, dof // 2), lambda k: exp(-chi2 / 2 + k * ln(chi2 / 2) - lgamma(k + 1))))
+  ELSE erfc + coalesce(list_sum(list_transform(range(0, dof // 2), lambda k: exp(-chi2 / 2 + (k + 0.5) * ln(chi2 / 2) - lgamma(k + 1.5)))), 0) END AS p
+  FROM (SELECT *, CASE WHEN dof % 2 = 1 THEN 2 / sqrt(pi()) * list_sum(list_transform(range(0, 20000),
+    lambda i: exp(-pow(sqrt(chi2 / 2) + (i + 0.5) / 2000, 2)) / 2000)) END AS erfc FROM t))
+SELECT feature, round(chi2, 4) AS chi2, dof, round(p, 5) AS p_value, CASE WHEN p < 0.05 THEN 1 ELSE 0 END AS drifted FROM g""",
+)
+def chi_square_report(spark, sf):
+    report = drift.chi_square_report(sliced_events(spark, sf), _CATEGORIES)
+    return tidy(report, digits=lambda c: 5 if c == "p_value" else 4)
+
+
 @query(
     "drift_flag",
     _DRIFT

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring
+from ..operators.scoring import REFUSED, linear_score
 from ..plans import scoring as score_plan
 from ..session import scratch_path
 from ..sources import readers, sinks
-from ..streaming import logs
+from ..streaming import drift, logs, requests
 from ..streaming import scoring as stream_scoring
 from .bindings import source
 from .evaluation import INTERCEPT, WEIGHTS, _LINEAR
@@ -225,21 +226,62 @@ _STREAM_FEATURES = ["value", "hour"]
 
 @query(
     "stream_drift",
-    """WITH h AS (SELECT value, CAST(hour(ts) AS DOUBLE) AS hour, event_type = 'click' AS cur FROM events),
-l AS (SELECT 'value' AS feature, value, cur FROM h UNION ALL SELECT 'hour', hour, cur FROM h),
-c AS (SELECT feature, value, count(CASE WHEN NOT cur THEN 1 END) AS r, count(CASE WHEN cur THEN 1 END) AS q FROM l GROUP BY 1, 2),
-s AS (SELECT feature, sum(r) OVER (PARTITION BY feature) AS n_ref, sum(q) OVER (PARTITION BY feature) AS n_cur,
-  sum(r) OVER (PARTITION BY feature ORDER BY value) AS cr, sum(q) OVER (PARTITION BY feature ORDER BY value) AS cq FROM c)
-SELECT feature, CAST(max(n_ref) AS BIGINT) AS n_ref, CAST(max(n_cur) AS BIGINT) AS n_cur, round(max(abs(cr / n_ref - cq / n_cur)), 6) AS ks,
-  CASE WHEN max(abs(cr / n_ref - cq / n_cur)) >= 0.1 THEN 1 ELSE 0 END AS drifted, CAST(0 AS BIGINT) AS batch FROM s GROUP BY feature""",
+    """WITH h AS (SELECT date_trunc('day', ts) AS w, value, CAST(hour(ts) AS DOUBLE) AS hour, event_type = 'click' AS cur FROM events),
+l AS (SELECT w, 'value' AS feature, value, cur FROM h UNION ALL SELECT w, 'hour', hour, cur FROM h),
+r AS (SELECT feature, value, count(*) AS n FROM l WHERE NOT cur GROUP BY 1, 2),
+q AS (SELECT w, feature, value, count(*) AS n FROM l WHERE cur GROUP BY 1, 2, 3),
+u AS (SELECT feature, value, sum(n) AS r FROM (SELECT feature, value, n FROM r UNION ALL SELECT feature, value, 0 FROM q) GROUP BY 1, 2),
+g AS (SELECT w.w, u.feature, u.value, u.r, coalesce(q.n, 0) AS q FROM u JOIN (SELECT DISTINCT w, feature FROM q) w ON w.feature = u.feature
+  LEFT JOIN q ON q.w = w.w AND q.feature = u.feature AND q.value = u.value),
+s AS (SELECT w, feature, sum(r) OVER (PARTITION BY w, feature) AS n_ref, sum(q) OVER (PARTITION BY w, feature) AS n_cur,
+  sum(r) OVER (PARTITION BY w, feature ORDER BY value) AS cr, sum(q) OVER (PARTITION BY w, feature ORDER BY value) AS cq FROM g)
+SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, feature, CAST(max(n_ref) AS BIGINT) AS n_ref, CAST(max(n_cur) AS BIGINT) AS n_cur,
+  round(max(abs(cr / n_ref - cq / n_cur)), 6) AS ks, CASE WHEN max(abs(cr / n_ref - cq / n_cur)) >= 0.1 THEN 1 ELSE 0 END AS drifted
+FROM s WHERE n_ref > 10 AND n_cur > 10 GROUP BY w, feature""",
 )
 def stream_drift(spark, sf):
-    """Clicks arrive as a stream and are held against all other events."""
-    events = table(spark, sf, "events").select("event_type", "value", F.hour("ts").cast("double").alias("hour"))
+    """Clicks arrive as a stream and are held against all other events, day by day."""
+    events = table(spark, sf, "events").select(
+        "event_type", "value", F.hour("ts").cast("double").alias("hour"), F.col("ts").cast("timestamp").alias("ts")
+    )
     path = scratch_path(spark, "clicks")
     arrivals = events.where(F.col("event_type") == "click")
     arrivals.write.parquet(path)
     stream = logs.stream_table(spark, path, arrivals.schema)
     reference = events.where(F.col("event_type") != "click")
-    report = stream_scoring.stream_drift(stream, reference, _STREAM_FEATURES, scratch_path(spark, "drift"))
-    return tidy(report, digits=6)
+    report = drift.stream_drift(stream, reference, _STREAM_FEATURES, scratch_path(spark, "drift"), "ts", "1 day", "3650 days")
+    plain = {c: F.col(c).cast("timestamp_ntz") for c in drift.WINDOW}
+    return tidy(report.withColumns(plain), digits=6)
+
+
+@query(
+    "stream_requests",
+    _LINEAR
+    + """, q AS (SELECT o_orderkey % 97 AS call, o_orderkey AS position, CASE WHEN o_orderkey % 11 = 0 THEN 'x' || o_custkey
+  WHEN o_orderkey % 5 = 0 THEN CAST(-o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS requested FROM orders),
+c AS (SELECT *, TRY_CAST(requested AS BIGINT) AS client_id FROM q),
+a AS (SELECT call, requested, client_id, p FROM c LEFT JOIN p ON SK_ID_CURR = client_id)
+SELECT call, p IS NOT NULL AS found, count(*) AS n, count(client_id) AS n_valid, count(CASE WHEN p >= 0.46::DOUBLE THEN 1 END) AS n_refused,
+  CAST(sum(CAST(round(p, 4) * 10000 AS BIGINT)) AS BIGINT) AS score_sum FROM a GROUP BY 1, 2""",
+)
+def stream_requests(spark, sf):
+    """Lists of ids arrive, some of them unknown or no number; both outcomes are counted per call."""
+    wanted = table(spark, sf, "orders").selectExpr(
+        "o_orderkey % 97 AS call",
+        """CASE WHEN o_orderkey % 11 = 0 THEN concat('x', o_custkey) WHEN o_orderkey % 5 = 0 THEN CAST(-o_custkey AS STRING)
+           ELSE CAST(o_custkey AS STRING) END AS id""",
+    )
+    calls = wanted.groupBy("call").agg(F.collect_list("id").alias("client_ids"))
+    path = scratch_path(spark, "requests")
+    calls.write.parquet(path)
+    stream = logs.stream_table(spark, path, calls.schema)
+    features = source(spark, sf, "application")
+    scored, unknown = requests.stream_requests(stream, features, linear_score(WEIGHTS, INTERCEPT), scratch_path(spark, "answers"))
+    found = scored.select("call", F.lit(True).alias("found"), "client_id", "score", "decision")
+    none = unknown.select("call", F.lit(False).alias("found"), "client_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("decision"))
+    return found.unionByName(none).groupBy("call", "found").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("client_id").alias("n_valid"),
+        F.count_if(F.col("decision") == REFUSED).alias("n_refused"),
+        F.sum(F.round(F.col("score") * 10000).cast("long")).alias("score_sum"),
+    )

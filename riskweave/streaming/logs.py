@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,7 +151,11 @@ def run_batches(
     )
     query.awaitTermination()
     if not layout:
-        raise ValueError("the stream held no data")
+        # nothing new since an earlier run with this checkpoint
+        try:
+            return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("long"))
+        except AnalysisException as problem:
+            raise ValueError("the stream held no data") from problem
     schema = T.StructType([*layout[0].fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(schema).parquet(path)
 

@@ -1,16 +1,12 @@
-"""Scoring and drift checks on arriving feature rows."""
+"""Scoring of arriving feature rows."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.drift import CURRENT, REFERENCE, drift_flag, ks_two_sample
 from ..operators.scoring import answer, linear_score
-from ..session import materialise
-from .logs import run_batches
 
 
 def stream_score(
@@ -18,18 +14,3 @@ def stream_score(
 ) -> DataFrame:
     """Score and decision for each arriving row; stateless, so any output mode will do."""
     return answer(rows, linear_score(coefficients, intercept), keep)
-
-
-def stream_drift(rows: DataFrame, reference: DataFrame, features: Sequence[str], path: str) -> DataFrame:
-    """Per micro-batch, KS of every feature against a fixed reference.
-
-    The reference is written once, as the features alone, and read again by every batch.
-    """
-    fixed = materialise(reference.select(*features), "reference").withColumn("slice", F.lit(REFERENCE))
-
-    def check(batch: DataFrame) -> DataFrame:
-        arrived = batch.select(*features).withColumn("slice", F.lit(CURRENT))
-        both = fixed.unionByName(arrived)
-        return ks_two_sample(both, features).withColumn("drifted", drift_flag())
-
-    return run_batches(rows, check, path)

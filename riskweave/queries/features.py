@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.aggregates import spec_columns
 from ..functions.naming import feature_columns
-from ..operators import encode, history, profile, scoring
+from ..operators import category_table, encode, history, profile, scoring
 from ..plans import features as P
+from ..session import scratch_path
+from ..sources import layout
 from .bindings import source, source_sql, sources, with_sources
-from .registry import query, table, tidy, tidy_double
+from .registry import ORACLES, query, table, tidy, tidy_double
 
 # Values the text columns of the bindings take, as the SQL side has to spell them out.
 CATEGORIES = {
@@ -299,6 +303,39 @@ def join_feature_blocks(spark, sf):
     return P.join_feature_blocks(base, *blocks)
 
 
+_BUCKETS = 8
+
+
+@query("join_stored_blocks", ORACLES["join_feature_blocks"])
+def join_stored_blocks(spark, sf):
+    """The same from tables in buckets of the client key: five groupings and joins without an exchange."""
+    names = {
+        "bureau": "n_bureau",
+        "previous_application": "n_prev",
+        "pos_cash": "n_pos",
+        "installments": "n_pay",
+        "credit_card": "n_card",
+    }
+
+    def stored(name):
+        path = scratch_path(spark, name)
+        # the last part of a scratch path is of letters, digits and hyphens, and used once
+        return layout.store_by_key(source(spark, sf, name), path.rpartition("/")[2].replace("-", "_"), path, _BUCKETS)
+
+    blocks = [history.group_count(stored(s), "SK_ID_CURR", n) for s, n in names.items()]
+    return P.join_feature_blocks(stored("application").select("SK_ID_CURR", "TARGET"), *blocks)
+
+
+@query("lookup_stored", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 100 = 7)")
+def lookup_stored(spark, sf):
+    path = scratch_path(spark, "clients")
+    clients = layout.store_by_key(
+        table(spark, sf, "customer"), path.rpartition("/")[2].replace("-", "_"), path, _BUCKETS, "c_custkey"
+    )
+    wanted = table(spark, sf, "orders").where("o_orderkey % 100 = 7").select(F.col("o_custkey").alias("c_custkey"))
+    return layout.lookup_stored(clients, wanted, "c_custkey")
+
+
 @query("application_features", APPLICATION + _application_sql())
 def application_features(spark, sf):
     return tidy_double(P.application_features(source(spark, sf, "application")), KEY, 6)
@@ -506,6 +543,45 @@ def one_hot_rate(spark, sf):
     return tidy(encode.one_hot_rate(source(spark, sf, "previous_application"), "SK_ID_CURR"), digits=6)
 
 
+_SHARE_COLUMNS = ["NAME_CONTRACT_STATUS", "NAME_CONTRACT_TYPE"]
+
+
+@query(
+    "category_shares",
+    with_sources("previous_application")
+    + " UNION ALL ".join(
+        f"""SELECT SK_ID_CURR, '{c}' AS "column", {c} AS category, round(count(*) / max(total), 6) AS share
+  FROM (SELECT *, count(*) OVER (PARTITION BY SK_ID_CURR) AS total FROM previous_application) q GROUP BY SK_ID_CURR, {c}"""
+        for c in _SHARE_COLUMNS
+    ),
+)
+def category_shares(spark, sf):
+    """Maps of shares, one entry a row again."""
+    maps = category_table.share_maps(source(spark, sf, "previous_application"), "SK_ID_CURR", _SHARE_COLUMNS)
+    known = [maps.select("SK_ID_CURR", F.lit(c).alias("column"), F.explode(c).alias("category", "share")) for c in _SHARE_COLUMNS]
+    missing = [
+        maps.where(F.col(c + category_table.MISSING) > 0).select(
+            "SK_ID_CURR", F.lit(c).alias("column"), F.lit(None).cast("string").alias("category"), F.col(c + category_table.MISSING).alias("share")
+        )
+        for c in _SHARE_COLUMNS
+    ]
+    return tidy(reduce(lambda a, b: a.unionByName(b), known + missing), digits=6)
+
+
+@query(
+    "label_codes",
+    """WITH f AS (SELECT CAST(l_partkey AS VARCHAR) AS part, min(l_orderkey) AS first FROM lineitem WHERE l_quantity <> 50 GROUP BY 1),
+c AS (SELECT part, row_number() OVER (ORDER BY first, part) - 1 AS code FROM f)
+SELECT l_orderkey, count(*) AS n, CAST(sum(coalesce(code, -1)) AS BIGINT) AS code_sum, max(coalesce(code, -1)) AS code_max
+FROM lineitem LEFT JOIN c ON part = CASE WHEN l_quantity <> 50 THEN CAST(l_partkey AS VARCHAR) END GROUP BY 1""",
+)
+def label_codes(spark, sf):
+    """Codes of a column with as many values as there are parts."""
+    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey", "CASE WHEN l_quantity <> 50 THEN CAST(l_partkey AS STRING) END AS part")
+    coded = category_table.label_encode(lines, category_table.label_table(lines, ["part"], "l_orderkey"), ["part"])
+    return coded.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("code_sum"), F.max("part").alias("code_max"))
+
+
 _DOMAIN_COLUMNS = {
     "application": ["CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_CONTRACT_TYPE"],
     "bureau": ["CREDIT_ACTIVE", "CREDIT_TYPE"],

@@ -70,19 +70,16 @@ def lookup_stored(table: DataFrame, ids: DataFrame | Sequence[int], key: str = I
 
 
 def files_read(df: DataFrame) -> int:
-    """Files that the scans of a lookup open. It is run for that, its rows are collected."""
-    df = df.select("*")  # a scan counts its files in its first run only
-    df.collect()
-    plan, total = [df._jdf.queryExecution().executedPlan()], 0
-    while plan:
-        node = plan.pop()
-        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            plan.append(node.executedPlan())
-        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
-            plan.append(node.plan())
-        metric = node.metrics().get("numFiles")
-        if metric.isDefined():
-            total += metric.get().value()
+    """Files that the scans of a plan open, those of pruned buckets left out. Nothing is run."""
+    nodes, files = [df.select("*")._jdf.queryExecution().executedPlan()], set()
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        if kind == "FileSourceScanExec":
+            for part in node.inputRDD().partitions():
+                files |= {f.filePath().toString() for f in part.files()}
         children = node.children()
-        plan += [children.apply(i) for i in range(children.size())]
-    return total
+        nodes += [children.apply(i) for i in range(children.size())]
+    return len(files)

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, shuffle_width
 
 #: Bytes of text worked on at a time; a longer text is one slice of its own.
 SLICE_BYTES = 2 << 20
@@ -155,6 +155,35 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     )
 
 
+#: Bits of a row's number within its slice.
+_LOCAL_BITS = 33
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place from 0 along ``order`` within ``group``, and ``total``, the rows of the group.
+
+    Rows are sorted in slices of the whole order, so a group of any size is spread over tasks; only a count
+    per group and slice meets in a window.
+    """
+    along = [group, *order]
+    sliced = rows.repartitionByRange(shuffle_width(rows.sparkSession), *along).sortWithinPartitions(*along)
+    # its high bits number the slice, the others the row within
+    sliced = settle(sliced.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    split = sliced.withColumns(
+        {"_slice": F.shiftright("_at", _LOCAL_BITS), "_at": F.col("_at").bitwiseAND((1 << _LOCAL_BITS) - 1)}
+    )
+    sizes = split.groupBy(group, "_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(
+        group,
+        "_slice",
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"),
+        F.sum("_n").over(whole).alias("total"),
+    )
+    return split.join(bases, [group, "_slice"]).withColumn("pos", F.col("_at") + F.col("_base")).drop("_slice", "_at", "_base")
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """``materialise``, after which the shuffle files of finished jobs are let go.
 

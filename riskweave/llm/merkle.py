@@ -12,11 +12,10 @@ of n rows takes log(n) / log(ARITY ** DEPTH) rounds. A block has a bounded size,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
-from .common import settle
+from .common import numbered, settle
 
 ARITY = 3
 #: Levels of a block, which thus holds up to 243 nodes.
@@ -26,7 +25,6 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _BLOCK = ARITY**DEPTH
 _RUN = ARITY * DIGEST
-_LOCAL_BITS = 33
 
 
 def leaf(*fields: Column | str) -> Column:
@@ -51,31 +49,6 @@ def folded(start: Column | str, path: Column | str) -> Column:
     return F.aggregate(path, start, lambda h, p: F.sha2(F.concat(p["left"], h, p["right"]), 256))
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos``, the place from 0 along ``order`` within ``group``, and ``total``, the rows of the group.
-
-    Rows are sorted in slices of the whole order, so a group of any size is spread over tasks; only a count
-    per group and slice meets in a window.
-    """
-    along = [group, *order]
-    sliced = rows.repartitionByRange(shuffle_width(rows.sparkSession), *along).sortWithinPartitions(*along)
-    # its high bits number the slice, the others the row within
-    sliced = settle(sliced.withColumn("_at", F.monotonically_increasing_id()), "merkle-sorted")
-    split = sliced.withColumns(
-        {"_slice": F.shiftright("_at", _LOCAL_BITS), "_at": F.col("_at").bitwiseAND((1 << _LOCAL_BITS) - 1)}
-    )
-    sizes = split.groupBy(group, "_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    whole = Window.partitionBy(group)
-    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(
-        group,
-        "_slice",
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"),
-        F.sum("_n").over(whole).alias("total"),
-    )
-    return split.join(bases, [group, "_slice"]).withColumn("pos", F.col("_at") + F.col("_base")).drop("_slice", "_at", "_base")
-
-
 def _parents(level: str) -> str:
     """The string of the level above."""
     return (

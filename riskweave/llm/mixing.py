@@ -1,93 +1,74 @@
 """Mixing of sources to target weights by Pfair scheduling.
 
-Each source's texts are cut into blocks of equal bytes. Block ``j`` (from 1) of a source with share ``w``
-of the stream is released at slot ``floor((j - 1) / w)`` and due by ``ceil(j / w)``; every slot takes
-the released block with the earliest deadline. So after ``t`` slots a source has between ``t w - 1``
-and ``t w + 1`` blocks. Shares are whole numbers, hence the schedule repeats after as many slots as
-their sum, and only one cycle is worked out. When a source runs dry the others share its part and a
-new phase begins: every row is placed once.
+Each source's texts are cut into blocks of equal bytes. Block ``j`` (from 1) of a source with weight ``w``, all
+weights adding up to 1, is released at slot ``floor((j - 1) / w)`` and due by ``ceil(j / w)``; every slot takes the
+released block with the earliest deadline. So after ``t`` slots a source has between ``t w - 1`` and ``t w + 1``
+blocks. Weights are whole numbers of any size, so the windows are exact however long the schedule is. When a source runs
+dry the others share its part and a new phase begins: every row is placed once.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
-from dataclasses import dataclass
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import prefix_totals
 from ..session import materialise
 
-#: Text bytes of a block.
+#: Text bytes of a block,
 BLOCK_BYTES = 1 << 16
-#: Whole shares add up to about this; the target weights are met to 1 / RESOLUTION.
-RESOLUTION = 1000
-#: More sources are an error: the schedule of a cycle is worked out in the driver.
-MAX_SOURCES = 256
+#: unless the input is so large that there would be more blocks than this: the driver works the schedule out. From 64 GiB
+#: of text on, blocks grow with the input.
+MAX_BLOCKS = 1 << 20
+#: More sources are an error: each has a block at least.
+MAX_SOURCES = 1 << 16
 #: Rows that one window sorts, on average.
 CELL_ROWS = 4096
 #: Without target weights a source gets its bytes to this power.
 TEMPERATURE = 0.5
 
-Cycle = list[tuple[str, int]]
 
+def whole_weights(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    divisor = math.gcd(*whole.values())
+    return {s: w // divisor for s, w in whole.items()}
 
-@dataclass(frozen=True)
-class Phase:
-    """A stretch of slots with one set of sources: per source its first block, number of blocks and share."""
 
-    slot: int
-    cycle: int
-    runs: dict[str, tuple[int, int, int]]
-    order: Cycle
-
-
-def whole_shares(weights: Mapping[str, float]) -> dict[str, int]:
-    total = sum(weights.values())
-    return {s: max(1, round(RESOLUTION * w / total)) for s, w in weights.items()}
-
-
-def cycle_order(shares: Mapping[str, int]) -> Cycle:
-    """Sources with the number of their block, slot by slot, for one cycle of earliest deadline first."""
-    cycle = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]  # release, source, block
-    heapq.heapify(waiting)
-    ready, order = [], []
-    for slot in range(cycle):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * cycle // shares[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        order.append((s, j))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * cycle // shares[s], s, j + 1))
-    return order
-
-
-def schedule(shares: Mapping[str, int], blocks: Mapping[str, int]) -> list[Phase]:
-    """The phases that place all ``blocks`` of each source."""
+def schedule(weights: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, array]:
+    """Per source the slots of its ``blocks``, in order."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    phases, slot = [], 0
+    slots = {s: array("q") for s in left}
+    start = 0
     while left:
-        order = cycle_order({s: shares[s] for s in left})
-        whole = min((n - 1) // shares[s] for s, n in left.items())
-        taken = {s: whole * shares[s] for s in left}
-        length = whole * len(order)
-        for s, _ in order:
-            taken[s] += 1
-            length += 1
-            if taken[s] == left[s]:
-                break
-        phases.append(Phase(slot, len(order), {s: (done[s], n, shares[s]) for s, n in taken.items()}, order))
-        slot += length
-        for s, n in taken.items():
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-    return phases
+        whole = sum(weights[s] for s in left)
+        waiting = [(0, s, 0) for s in sorted(left)]  # release, source, blocks taken in this phase
+        heapq.heapify(waiting)
+        ready: list[tuple[int, str, int]] = []
+        slot, dry = 0, None
+        while dry is None:
+            while waiting and waiting[0][0] <= slot:
+                _, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * whole // weights[s]), s, j))
+            _, s, j = heapq.heappop(ready)
+            slots[s].append(start + slot)
+            slot += 1
+            if j + 1 == left[s]:
+                dry = s
+            else:
+                heapq.heappush(waiting, ((j + 1) * whole // weights[s], s, j + 1))
+        start += slot
+        left = {s: blocks[s] - len(slots[s]) for s in left if s != dry}
+    return slots
 
 
 SOURCE = "coalesce(concat('s', source), 'n')"
@@ -131,40 +112,31 @@ def placed_units(
         if min(target.values()) <= 0:
             raise ValueError("weights must be above zero")
         target = {s: target[s] for s in amount}
-    phases = schedule(whole_shares(target), {s: max(1, -(-n // block_bytes)) for s, n in amount.items()}) if amount else []
-    # at most MAX_SOURCES phases, and MAX_SOURCES * (RESOLUTION + MAX_SOURCES) slots of their cycles
-    runs = spark.createDataFrame(
-        [(s, k, a, a + n, share, p.slot, p.cycle) for k, p in enumerate(phases) for s, (a, n, share) in p.runs.items() if n],
-        "mix_source string, phase int, first long, end long, share long, slot_base long, cycle long",
-    )
-    turns = spark.createDataFrame(
-        [(s, k, j, t) for k, p in enumerate(phases) for t, (s, j) in enumerate(p.order)],
-        "mix_source string, phase int, nth long, turn long",
+    block_bytes = max(block_bytes, -(-sum(amount.values()) // MAX_BLOCKS))
+    blocks = {s: max(1, -(-n // block_bytes)) for s, n in amount.items()}
+    placed = schedule(whole_weights(target), blocks) if amount else {}
+    # a row per block, of which there are at most MAX_BLOCKS and one more for each source
+    turns = pd.DataFrame(
+        {
+            "mix_source": pd.Series([s for s, slots in placed.items() for _ in slots], dtype="object"),
+            "block": pd.Series([j for slots in placed.values() for j in range(len(slots))], dtype="int64"),
+            "slot": pd.Series([t for slots in placed.values() for t in slots], dtype="int64"),
+        }
     )
+    turns = spark.createDataFrame(turns, "mix_source string, block long, slot long")
+    ends = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "mix_source string, last long")
     in_cell = Window.partitionBy("mix_source", "cell").orderBy("mix_unit").rowsBetween(Window.unboundedPreceding, -1)
-    to_cell = Window.partitionBy("mix_source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cells.select("mix_source", "cell", F.coalesce(F.sum("bytes").over(to_cell), F.lit(0)).alias("base"))
+    running = prefix_totals(cells, ["cell"], ["bytes"], ["mix_source"])
+    bases = running.select("mix_source", "cell", (F.col("bytes_upto") - F.col("bytes")).alias("base"))
     local = units.withColumn("start_byte", F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
     blocked = (
         local.join(bases, ["mix_source", "cell"])
         .withColumn("start_byte", F.col("start_byte") + F.col("base"))
-        .join(F.broadcast(cells.groupBy("mix_source").agg(F.sum("bytes").alias("total"))), "mix_source")
+        .join(ends, "mix_source")
         # a unit without bytes at the very end belongs to the last block
-        .withColumn("block", F.expr(f"least(start_byte div {block_bytes}, greatest(total - 1, 0) div {block_bytes})"))
-    )
-    timed = (
-        blocked.join(F.broadcast(runs), "mix_source")
-        .where("block >= first and block < end")
-        .withColumn("nth", F.expr("(block - first) % share"))
-        .join(F.broadcast(turns), ["mix_source", "phase", "nth"])
-    )
-    return timed.select(
-        "mix_source",
-        "mix_unit",
-        "start_byte",
-        "block",
-        F.expr("slot_base + ((block - first) div share) * cycle + turn").alias("slot"),
+        .withColumn("block", F.expr(f"least(start_byte div {block_bytes}, last)"))
     )
+    return blocked.join(turns, ["mix_source", "block"]).select("mix_source", "mix_unit", "start_byte", "block", "slot")
 
 
 def mix(
@@ -178,11 +150,18 @@ def mix(
     replaced.
     """
     units = placed_units(documents, weights, block_bytes)
-    keyed = documents.drop("block", "slot", "start_byte").withColumns({"_source": F.expr(SOURCE), "_unit": F.expr(UNIT)})
-    match = (F.col("_source") == F.col("mix_source")) & (F.col("_unit") == F.col("mix_unit"))
-    return keyed.join(units, match).drop("_source", "_unit", "mix_source", "mix_unit")
+    kept = [c for c in documents.columns if c not in ("block", "slot", "start_byte")]
+    # the row travels as one column, so that none of its columns can clash
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.expr(SOURCE).alias("own_source"), F.expr(UNIT).alias("own_unit"))
+    match = (F.col("own_source") == F.col("mix_source")) & (F.col("own_unit") == F.col("mix_unit"))
+    return keyed.join(units, match).select("row.*", "start_byte", "block", "slot")
 
 
-def mixed_stream(documents: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
+def mixed_stream(
+    documents: DataFrame, weights: Mapping[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The rows of ``documents`` with its own columns, sorted over all partitions in the order of the mix."""
-    return mix(documents, weights).orderBy("slot", "start_byte", "doc_id").select(*documents.columns)
+    placed = placed_units(documents, weights, block_bytes)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.expr(SOURCE).alias("own_source"), F.expr(UNIT).alias("own_unit"))
+    match = (F.col("own_source") == F.col("mix_source")) & (F.col("own_unit") == F.col("mix_unit"))
+    return rows.join(placed, match).orderBy("slot", "start_byte", "mix_unit").select("row.*")

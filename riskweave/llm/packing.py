@@ -19,11 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import bound_batches, column
+from .common import bound_batches, column, numbered
 
 CAPACITY = 2048
 END = 0
@@ -77,11 +77,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(
-    documents: DataFrame, tokenizer_file: str, ranks_file: str | None, capacity: int = CAPACITY, ids: bool = False
+    documents: DataFrame,
+    tokenizer_file: str,
+    ranks_file: str | None,
+    capacity: int = CAPACITY,
+    ids: bool = False,
+    place: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, part, nth`` (and ``ids``) of every row's pieces.
+    """``doc_id, piece, start, length, ids_crc32, place, part, nth`` (and ``ids``) of every row's pieces.
 
-    ``part`` is the task and ``nth`` counts the task's pieces of one length, from 0.
+    ``place`` is the row's, 0 if none is given; ``part`` is the task and ``nth`` counts the task's pieces of one length, from 0.
     """
     bound_batches(documents.sparkSession)
 
@@ -90,12 +95,12 @@ def pieces(
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            keys = column(batch, "doc_id").to_pylist()
-            for key, text in zip(keys, column(batch, "text"), strict=True):
+            keys, places_of = column(batch, "doc_id").to_pylist(), column(batch, "place").to_pylist()
+            for key, at, text in zip(keys, places_of, column(batch, "text"), strict=True):
                 tokens = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(tokens), capacity)):
                     own = tokens[start : start + length]
-                    row = (key, k, start, length, zlib.crc32(own.tobytes()), part, seen[length])
+                    row = (key, k, start, length, zlib.crc32(own.tobytes()), at, part, seen[length])
                     out.append((*row, own.tolist()) if ids else row)
                     seen[length] += 1
             if out:
@@ -103,11 +108,12 @@ def pieces(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names
                 )
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if ids else [])]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "place", "part", "nth", *(["ids"] if ids else [])]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     types += [pa.list_(pa.int64())] if ids else []
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, place long, part int, nth long"
+    at = (F.lit(0) if place is None else place).cast("long").alias("place")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at).mapInArrow(
         run, schema + (", ids array<long>" if ids else "")
     )
 
@@ -202,11 +208,22 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 @dataclass(frozen=True)
 class Places:
-    """Runs of ranks within a length, in order of ``key`` = length and first rank, and where they go."""
+    """Runs of ranks within a length, in order of ``key`` = length and first rank, and where they go.
+
+    ``many`` ranks after each other go to one sequence, from ``offset`` on, the next ones to the following sequence.
+    """
 
     key: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
+    many: np.ndarray
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the pieces of these lengths and ranks."""
+        key = length << _RANK_BITS | rank
+        at = np.searchsorted(self.key, key, "right") - 1
+        sequence, nth = np.divmod(key - self.key[at], self.many[at])
+        return self.sequence[at] + sequence, self.offset[at] + nth * length
 
 
 _RANK_BITS = 48
@@ -216,13 +233,13 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> Places:
     used, runs, base = Counter(), [], 0
     for lengths, times in plan:
         offset = 0
-        for length in lengths:
-            runs.append((length << _RANK_BITS | used[length], base, offset))
-            used[length] += times
-            offset += length
+        for length, many in Counter(lengths).items():
+            runs.append((length << _RANK_BITS | used[length], base, offset, many))
+            used[length] += many * times
+            offset += many * length
         base += times
     runs.sort()
-    return Places(*(np.array(c, np.int64) for c in (zip(*runs, strict=True) if runs else ([], [], []))))
+    return Places(*(np.array(c, np.int64) for c in (zip(*runs, strict=True) if runs else ([], [], [], []))))
 
 
 def pack(
@@ -231,6 +248,7 @@ def pack(
     ranks_file: str | None = None,
     capacity: int = CAPACITY,
     ids: bool = False,
+    place: Column | None = None,
 ) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -238,28 +256,38 @@ def pack(
     and the end token; null is empty text. Only a longer document is cut, and then its first piece
     may be shorter than ``capacity``. Places in a sequence follow each other from 0. With ``ids`` the
     token ids come along. Rows with null or repeated ids are packed like any other.
+
+    With ``place``, a number that orders the rows (null first), pieces of one length are used in that order and
+    sequences are numbered by the first place that a piece of theirs has.
     """
-    each = materialise(pieces(documents, tokenizer_file, ranks_file, capacity, ids), "pieces")
+    each = materialise(pieces(documents, tokenizer_file, ranks_file, capacity, ids, place), "pieces")
     counts = each.groupBy("part", "length").agg(F.count("*").alias("n"))
     # at most `capacity` rows reach the driver
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = places(packing_plan(total, capacity))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = each.join(bases, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("base")).drop("part", "base")
+    if place is None:
+        before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        bases = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
+        ranked = each.join(bases, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("base"))
+    else:
+        ranked = numbered(each, "length", ["place", "doc_id", "piece"]).withColumn("nth", F.col("pos"))
 
     def run(batches):
         for batch in batches:
-            rank = column(batch, "nth").to_numpy()
-            key = column(batch, "length").to_numpy() << _RANK_BITS | rank
-            at = np.searchsorted(where.key, key, "right") - 1
-            sequence = where.sequence[at] + (key - where.key[at])
+            sequence, offset = where.find(column(batch, "length").to_numpy(), column(batch, "nth").to_numpy())
             keep = [i for i, name in enumerate(batch.schema.names) if name != "nth"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(sequence), pa.array(where.offset[at])],
+                [*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)],
                 names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"],
             )
 
-    ordered = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else []), "nth")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
+    ordered = ranked.select(*kept, *([] if place is None else ["place"]), "nth")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema if f.name != "nth")
-    return ordered.mapInArrow(run, schema + ", sequence_id long, offset long")
+    packed = ordered.mapInArrow(run, schema + ", sequence_id long, offset long")
+    if place is None:
+        return packed
+    packed = materialise(packed, "packed")
+    firsts = packed.groupBy("sequence_id").agg(F.min("place").alias("first")).withColumn("all", F.lit(0))
+    order = numbered(firsts, "all", ["first", "sequence_id"]).select("sequence_id", F.col("pos").alias("number"))
+    return packed.join(order, "sequence_id").select(*kept, F.col("number").alias("sequence_id"), "offset")

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import regex
 import xxhash
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -122,26 +123,51 @@ def edit_distance(a, b):
     return row[-1]
 
 
+#: Lines of white space and separators alone.
+BLANK = regex.compile(r"[\s\p{Z}]*")
+
+
 def normal_words(line):
     return "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in line.lower()).split()
 
 
-def dropped_lines(rows, distance=3, similarity=0.8, least=5):
-    """Per (id, text) with distinct ids: places of the dropped lines."""
-    lines = [(i, k, normal_words(line)) for i, text in rows for k, line in enumerate((text or "").split("\n"))]
-    lines = sorted(x for x in lines if len(x[2]) >= least)
-    pair = lambda a, b: xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
-    prints = [majority([pair(a, b) for a, b in zip(words, words[1:], strict=False)]) for *_, words in lines]
-    groups = Groups()
-    for a in range(len(lines)):
+def line_units(line):
+    """What copies are equal in, and what near copies are counted in (with its kind), or None."""
+    words = normal_words(line)
+    joined = " ".join(words)
+    if len(words) >= 5:
+        return joined, ("words", words)
+    return joined if words else line, ("characters", list(joined)) if len(joined) >= 20 else None
+
+
+def near_copies(x, y, similarity):
+    most = int((1 - similarity) * max(len(x), len(y)) + 1e-6)
+    # what the longer has beyond the other, order aside, takes an edit each
+    if max(len(x), len(y)) - (Counter(x) & Counter(y)).total() > most:
+        return False
+    return edit_distance(x, y) <= most
+
+
+def dropped_lines(rows, similarity=0.8):
+    """Per (id, text) with distinct ids: places of the dropped lines, by edit similarity of all pairs."""
+    lines = sorted((i, k, *line_units(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if not BLANK.fullmatch(x))
+    groups, first = Groups(), {}
+    for a, (_, _, normal, _) in enumerate(lines):
         groups.find(a)
-        for b in range(a):
-            x, y = lines[a][2], lines[b][2]
-            most = int((1 - similarity) * max(len(x), len(y)) + 1e-6)
-            if x == y or ((prints[a] ^ prints[b]).bit_count() <= distance and edit_distance(x, y) <= most):
+        groups.join(a, first.setdefault(normal, a))
+    by_size = sorted((len(lines[a][3][1]), a) for a in first.values() if lines[a][3])
+    for n, (size, a) in enumerate(by_size):
+        kind, x = lines[a][3]
+        for smaller, b in reversed(by_size[:n]):
+            if smaller < similarity * size - 1e-6:
+                break
+            if lines[b][3][0] == kind and groups.find(a) != groups.find(b) and near_copies(x, lines[b][3][1], similarity):
                 groups.join(a, b)
+    kept = {}
+    for a in range(len(lines)):
+        kept.setdefault(groups.find(a), a)
     out = {i: set() for i, _ in rows}
-    for a, (i, k, _) in enumerate(lines):
-        if groups.find(a) != a:
+    for a, (i, k, *_) in enumerate(lines):
+        if kept[groups.find(a)] != a:
             out[i].add(k)
     return out

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -33,13 +33,13 @@ def test_plan_uses_every_piece(counts):
     tokens = sum(k * n for k, n in counts.items())
     assert sequences >= -(-tokens // 30)
     places = packing.places(plan)
-    ends = Counter()
+    ends, used = Counter(), defaultdict(set)
     for length, n in counts.items():
-        key = (length << 48) + np.arange(n)
-        at = np.searchsorted(places.key, key, "right") - 1
-        for s, o in zip(places.sequence[at] + key - places.key[at], places.offset[at], strict=True):
+        for s, o in zip(*places.find(np.full(n, length), np.arange(n)), strict=True):
             ends[int(s)] += length
-            assert o + length <= 30
+            taken = range(o, o + length)
+            assert o + length <= 30 and not used[int(s)] & set(taken)
+            used[int(s)] |= set(taken)
     assert len(ends) == sequences and max(ends.values(), default=0) <= 30
 
 

@@ -1,6 +1,7 @@
 """The pipeline against plain Python, stage by stage, and the registered queries."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import plain
@@ -8,7 +9,7 @@ import pytest
 from oracle import compare, connect
 
 import corpus_pipeline
-from riskweave.llm import packing, quality
+from riskweave.llm import mixing, packing, quality
 from riskweave.llm.queries import ORACLES, QUERIES, table, vocabulary
 from riskweave.session import materialise
 
@@ -56,6 +57,37 @@ def test_mixing_stage(steps):
     assert sorted(steps[3]) == sorted(steps[4])
 
 
+def test_mix_reaches_the_sequences(spark):
+    """The first sequences hold the sources by their weights, not by their sizes."""
+    rows = [(i, f"document {i} of some words " * 4, "large" if i % 10 else "small") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").orderBy("source", "doc_id")
+    weights = {"large": 1, "small": 1}
+    mixed = materialise(mixing.mixed_stream(docs, weights, 2000), "mixed")
+    source = {i: s for i, _, s in rows}
+
+    def share_of_small(packed, part):
+        sequences = sorted({r.sequence_id for r in packed})
+        assert sequences == list(range(len(sequences)))
+        tokens = Counter()
+        for r in packed:
+            if r.sequence_id < part * len(sequences):
+                tokens[source[r.doc_id]] += r.length
+        return tokens["small"] / tokens.total()
+
+    packed = corpus_pipeline.pack_sequences(spark, mixed, SF_DIR).collect()
+    # a tenth of the tokens is small; with equal weights it lasts for a fifth of the mix. A sequence is numbered by
+    # its first piece, others in it may come from later in the mix.
+    unmixed = packing.pack(mixed, *vocabulary()).collect()
+    for part in (0.05, 0.1, 0.15):
+        assert share_of_small(packed, part) > 0.3 > 0.2 > share_of_small(unmixed, part)
+    assert abs(share_of_small(packed, 1) - 0.1) < 0.01
+    at = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0) and r.offset + r.length <= packing.CAPACITY
+        at[r.sequence_id] = r.offset + r.length
+    assert len({r.sequence_id for r in unmixed}) == len(at)
+
+
 def test_packing_stage(steps):
     encode, want = packing.encoder(*vocabulary()), set()
     for i, t in texts(steps[4]).items():

@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from oracle import compare, connect
@@ -59,19 +60,8 @@ def shares():
         yield {f"s{i}": rng.randrange(1, 200) for i in range(rng.randrange(1, 9))}
 
 
-@pytest.mark.parametrize("share", list(shares()))
-def test_cycle_stays_within_one_block(share):
-    order, cycle = mixing.cycle_order(share), sum(share.values())
-    done = Counter()
-    for t, (s, j) in enumerate(order, 1):
-        assert j == done[s]
-        done[s] += 1
-        assert all(abs(done[x] - t * share[x] / cycle) < 1 for x in share)
-    assert done == share
-
-
 def earliest_deadline_first(share, blocks):
-    """Slot by slot, without cycles: the source of each slot."""
+    """Slot by slot: the source of each slot."""
     left, out = dict(blocks), []
     while left:
         cycle, done, start = sum(share[s] for s in left), Counter(), len(out)
@@ -87,18 +77,45 @@ def earliest_deadline_first(share, blocks):
     return out
 
 
+def in_order(slots):
+    """Source and number of the block of each slot."""
+    out = sorted((t, s, j) for s, own in slots.items() for j, t in enumerate(own))
+    assert [t for t, *_ in out] == list(range(len(out)))
+    return [(s, j) for _, s, j in out]
+
+
 def test_schedule_is_earliest_deadline_first():
     rng = random.Random(5)
     for share in shares():
         blocks = {s: rng.randrange(0, 900) for s in share}
-        place = {}
-        for p in mixing.schedule(share, blocks):
-            turn = {(s, j): t for t, (s, j) in enumerate(p.order)}
-            for s, (first, n, a) in p.runs.items():
-                for j in range(n):
-                    place[p.slot + j // a * p.cycle + turn[s, j % a]] = (s, first + j)
-        want = earliest_deadline_first(share, {s: n for s, n in blocks.items() if n})
-        assert [place[t][0] for t in range(len(want))] == want and len(place) == len(want)
+        got = in_order(mixing.schedule(share, blocks))
+        assert [s for s, _ in got] == earliest_deadline_first(share, {s: n for s, n in blocks.items() if n})
+        assert Counter(s for s, _ in got) == Counter({s: n for s, n in blocks.items() if n})
+
+
+@pytest.mark.parametrize("slots", [3000, 458_000])
+def test_sources_stay_within_one_block_of_the_true_weights(slots):
+    """Weights of twenty sources that no short cycle meets, over as many slots as 30 GB have."""
+    rng = random.Random(slots)
+    weights = {f"s{i:02}": (1 + rng.random()) ** 0.5 for i in range(19)} | {"rare": 0.0001}
+    total = sum(Fraction(w) for w in weights.values())
+    exact = {s: Fraction(w) / total for s, w in weights.items()}
+    got = in_order(mixing.schedule(mixing.whole_weights(weights), {s: int(slots * w) + 1 for s, w in exact.items()}))
+    # until the first source runs dry
+    last = {s: max(t for t, (x, _) in enumerate(got) if x == s) for s in weights}
+    until = min(last.values()) + 1
+    assert until > 0.95 * slots * min(1, 1 - 1 / (slots * float(exact["rare"]) + 1)) or until > 0.9 * slots
+    done, share = Counter(), {s: float(w) for s, w in exact.items()}
+    for t, (s, _) in enumerate(got[:until], 1):
+        done[s] += 1
+        if t % 97 == 0 or t > until - 100:
+            assert all(abs(done[x] - t * share[x]) < 1 + 1e-6 for x in share)
+
+
+def test_whole_weights_are_exact():
+    weights = {"a": 0.1, "b": 1 / 3, "c": 2, "d": Fraction(1, 7)}
+    whole = mixing.whole_weights(weights)
+    assert all(Fraction(whole[s], whole["c"]) == Fraction(w) / 2 for s, w in weights.items())
 
 
 def test_mix(spark):
@@ -118,7 +135,7 @@ def test_mix(spark):
     for i, t, s in rows:
         total[s] += len(t or "")
     blocks = {s: -(-n // 1000) for s, n in total.items()}
-    want = earliest_deadline_first(mixing.whole_shares({f"s{s}" if s else "n": w for s, w in weights.items()}), {f"s{s}" if s else "n": n for s, n in blocks.items()})
+    want = earliest_deadline_first(mixing.whole_weights({f"s{s}" if s else "n": w for s, w in weights.items()}), {f"s{s}" if s else "n": n for s, n in blocks.items()})
     seen = Counter()
     for t, name in enumerate(want):
         if t in slots:
@@ -132,3 +149,24 @@ def test_mix(spark):
     assert stream.columns == ["doc_id", "text", "source", "slot"] and stream.count() == len(rows)
     with pytest.raises(ValueError, match="weight"):
         mixing.mix(df, {"a": 1})
+
+
+def test_mix_of_a_hot_source_and_clashing_columns(spark):
+    rows = [(i, "x" * 20, "hot" if i % 3 else f"s{i % 40}") for i in range(9000)]
+    names = ("mix_source", "mix_unit", "_source", "_unit", "row", "own_source", "last", "cell", "n")
+    df = spark.createDataFrame(rows, DOCUMENTS).select("*", *[F.lit(c).alias(c) for c in names], F.create_map(F.lit(1), F.lit(2)).alias("m"))
+    out = mixing.mix(df, block_bytes=500)
+    assert out.columns == [*df.columns, "start_byte", "block", "slot"]
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows) and all(r["_unit"] == "_unit" and r["m"] == {1: 2} for r in got)
+    ends = defaultdict(list)
+    for r in got:
+        ends[r.source].append((r.start_byte, r.block))
+    for own in ends.values():
+        assert [b for b, _ in sorted(own)] == [20 * k for k in range(len(own))] and all(j == b // 500 for b, j in own)
+
+
+def test_blocks_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
+    df = spark.createDataFrame([(i, "x" * 100, "ab"[i % 2]) for i in range(200)], DOCUMENTS)
+    assert {r.slot for r in mixing.mix(df, block_bytes=100).collect()} == set(range(10))

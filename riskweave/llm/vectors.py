@@ -7,8 +7,11 @@ approximate distances, and what these cannot rule out is ranked by the exact cos
 
 A code's distance differs from the true one by at most the length of what the code leaves out, which
 is stored, so the codes lose no link. Two linked vectors of different lists lie on either side of the
-plane between the lists' centroids, so one of them is within half their distance of it. A vector
-probes the lists whose plane is that near, and a pair counts from the nearer side, so no link is lost.
+plane between the lists' centroids, so one of them is within half their distance of it; a pair counts
+from the nearer side. Probing every list whose plane is that near would lose no link, but few links
+point straight across a plane. So the distance is set plane by plane: by how much vectors of one list vary
+along the normal, times a factor that the links of MEASURED vectors, searched for among all rows, show to be
+enough. It never exceeds half a link. Up to MEASURED vectors every link is measured and none is lost.
 """
 
 from __future__ import annotations
@@ -23,16 +26,25 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, components, settle
 
 COSINE = 0.9
-#: Vectors that the centroids are fitted on, lowest hash of the id first. All vectors are indexed.
+#: Vectors that the centroids are fitted on, lowest hash of the id first, or SAMPLE_A_LIST for each list if that is more.
+#: All vectors are indexed.
 SAMPLE = 8192
+SAMPLE_A_LIST = 4
 SUBSPACES = 16
 CODES = 256
-#: Aimed-at vectors of a list; the number of lists follows the number of vectors up to SAMPLE / 16.
+#: Aimed-at vectors of a list. The number of lists follows the number n of vectors to SAMPLE / 16, then 2 sqrt(n), which
+#: balances the search for lists and within them.
 LIST_SIZE = 256
 ITERATIONS = 8
-#: Distances of the plane that probing allows for, in typical parts of a link across a plane (halved), which takes
-#: differences to point anywhere; None allows for half the distance of a link and loses none.
-SPREAD = None
+#: Rows times centres up to which centres are moved to means; beyond it they are rows of the sample.
+MOVED = 1 << 25
+#: Numbers in a matrix of rows and centres that are worked on at a time.
+CELLS = 1 << 22
+#: Least factor of the typical part of half a link across a plane that probing allows for; None allows for half a link.
+SPREAD = 3.0
+#: Vectors whose links are searched for among all rows to find the factor, and the allowance on what they show.
+MEASURED = 2048
+MARGIN = 1.25
 #: Entries of a list, and searches of it, that meet in one task; more of them meet block by block.
 BLOCK = 2048
 #: Searches whose distance tables are in memory at a time.
@@ -45,17 +57,22 @@ SLACK = 1e-3
 class Quantiser:
     coarse: np.ndarray  # lists x dimensions
     books: np.ndarray  # subspaces x codes x width
+    #: lists x dimensions: the distance of two rows is their centroids' times the deviation along the line between them,
+    #: which is 1 over all directions (as a sum of squares)
+    scaled: np.ndarray
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(x @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+    half = (centres * centres).sum(axis=1) / 2
+    step = max(1, CELLS // len(centres))
+    return np.concatenate([np.argmax(x[i : i + step] @ centres.T - half, axis=1) for i in range(0, max(1, len(x)), step)])
 
 
 def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Lloyd's algorithm from k random rows; a centre without rows stays where it is."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].astype(np.float32)
-    for _ in range(ITERATIONS):
+    for _ in range(ITERATIONS if len(x) * k <= MOVED else 0):
         own = _nearest(x, centres)
         n = np.bincount(own, minlength=k)
         total = np.zeros_like(centres)
@@ -76,12 +93,21 @@ def _folded(x: np.ndarray) -> np.ndarray:
     return out.reshape(len(x), SUBSPACES, width)
 
 
+def lists_for(vectors: int) -> int:
+    """Inverted lists for that many vectors."""
+    return max(1, min(vectors // LIST_SIZE, max(SAMPLE // 16, int(2 * np.sqrt(vectors)))))
+
+
 def fit(sample: np.ndarray, vectors: int) -> Quantiser:
     """Centroids from unit rows ``sample``, with lists for ``vectors`` rows."""
-    lists = int(np.clip(vectors // LIST_SIZE, 1, max(1, len(sample) // 16)))
-    coarse = _means(sample, lists, 1)
-    left = _folded(sample - coarse[_nearest(sample, coarse)])
-    return Quantiser(coarse, np.stack([_means(left[:, s], CODES, 2 + s) for s in range(SUBSPACES)]))
+    coarse = _means(sample, max(1, min(lists_for(vectors), len(sample) // SAMPLE_A_LIST)), 1)
+    left = sample - coarse[_nearest(sample, coarse)]
+    spread = left.T.astype(np.float64) @ left + 1e-9 * np.eye(left.shape[1])
+    values, axes = np.linalg.eigh(spread / np.trace(spread))
+    # no direction counts as flat
+    scaled = coarse @ (axes * np.sqrt(np.maximum(values, 1e-3 / len(values))))
+    folded = _folded(left)
+    return Quantiser(coarse, np.stack([_means(folded[:, s], CODES, 2 + s) for s in range(SUBSPACES)]), scaled)
 
 
 def _rows(values: pa.Array, dimensions: int) -> np.ndarray:
@@ -135,29 +161,61 @@ def _behind(x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x - middle, way) / np.maximum(length, 1e-12)
 
 
-def reach(cosine: float, dimensions: int, spread: float | None) -> float:
-    """How far behind the plane to a list's centroid a vector probes the list."""
+def _deviation(q: Quantiser, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Typical part, of a difference of length one, across the plane between lists ``own`` and ``other``."""
+    way = np.linalg.norm(q.coarse[own].astype(np.float64) - q.coarse[other], axis=1)
+    return np.linalg.norm(q.scaled[own] - q.scaled[other], axis=1) / np.maximum(way, 1e-12)
+
+
+def measured_spread(index: DataFrame, q: Quantiser, asked: np.ndarray, dimensions: int, cosine: float) -> float:
+    """The greatest part across a plane of half a link, in typical ones, over all links of the unit rows ``asked``."""
     half = np.sqrt(2 - 2 * cosine) / 2
-    return float(half * (1 if spread is None else min(1.0, spread / np.sqrt(dimensions))) + SLACK)
+    lists = _nearest(asked.astype(np.float32), q.coarse)
+
+    def run(batches):
+        for batch in batches:
+            x, own = _unit(column(batch, "embedding"), dimensions), column(batch, "list").to_numpy()
+            a, b = np.nonzero(x @ asked.T >= cosine)
+            apart = own[a] != lists[b]
+            a, b = a[apart], b[apart]
+            mine, yours = q.coarse[own[a]], q.coarse[lists[b]]
+            near = np.minimum(_behind(x[a], mine, yours), _behind(asked[b], yours, mine))
+            most = (near / (half * _deviation(q, own[a], lists[b]))).max(initial=0)
+            yield pa.RecordBatch.from_arrays([pa.array([most], pa.float64())], names=["most"])
+
+    most = index.select("embedding", "list").mapInArrow(run, "most double").agg(F.max("most")).first()[0]
+    return float(most or 0.0)
+
 
+def probes(index: DataFrame, q: Quantiser, dimensions: int, cosine: float, spread: float | None) -> DataFrame:
+    """``list, vec_id, embedding, copies, own`` for each list that a vector searches; ``own`` is the list it is in.
+
+    These are the lists whose plane is within ``spread`` typical parts of half a link, or within half a link.
+    """
+    half = np.sqrt(2 - 2 * cosine) / 2
+    coarse = q.coarse.astype(np.float64)
 
-def probes(index: DataFrame, q: Quantiser, dimensions: int, near: float) -> DataFrame:
-    """``list, vec_id, embedding, copies, own`` for each list that a vector searches; ``own`` is the list it is in."""
-    squares = (q.coarse.astype(np.float64) ** 2).sum(axis=1)
-    apart = squares[:, None] + squares[None, :] - 2 * q.coarse.astype(np.float64) @ q.coarse.T
-    apart = np.sqrt(np.maximum(apart, 1e-12))
+    def distances(centres, own):
+        squares = (centres * centres).sum(axis=1)
+        return np.sqrt(np.maximum(squares[own][:, None] + squares[None, :] - 2 * centres[own] @ centres.T, 1e-12))
 
     def run(batches):
+        squares = (coarse * coarse).sum(axis=1)
+        step = max(1, min(512, CELLS // len(coarse)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = _unit(column(part, "embedding"), dimensions)
                 own = column(part, "list").to_numpy()
                 rows = np.arange(len(x))
-                far = squares[None, :] - 2 * x @ q.coarse.T  # squared distances, less the length of x
-                behind = (far - far[rows, own][:, None]) / (2 * apart[own])
+                far = squares[None, :] - 2 * x @ coarse.T  # squared distances, less the length of x
+                apart = distances(coarse, own)
+                near = half * apart
+                if spread is not None:
+                    near = np.minimum(near, spread * half * distances(q.scaled, own))
+                behind = (far - far[rows, own][:, None]) / 2
                 behind[rows, own] = 0
-                row, target = np.nonzero(behind <= near)
+                row, target = np.nonzero(behind <= near + SLACK * apart)
                 picked = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(target.astype(np.int32)), *picked.columns],
@@ -198,14 +256,16 @@ def search(asked: pa.RecordBatch, entries: pa.RecordBatch, q: Quantiser, cosine:
     centre = int(column(entries, "list")[0].as_py())
     code = np.frombuffer(b"".join(column(entries, "code").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
     bound = (np.sqrt(2 - 2 * cosine) + SLACK + column(entries, "left_out").to_numpy()).astype(np.float32) ** 2
+    lengths = (q.books * q.books).sum(axis=2)
     pairs = []
     for at in range(0, len(x), TABLES):
         left = _folded(x[at : at + TABLES] - q.coarse[centre])
-        near = np.zeros((len(left), len(y)), np.float32)
+        # one row of a table holds the distances of all searches to one code, so entries take whole rows
+        near = np.broadcast_to((left * left).sum(axis=(1, 2)), (len(y), len(left))).copy()
         for s in range(SUBSPACES):
-            table = ((left[:, s, None, :] - q.books[s][None]) ** 2).sum(axis=2)
-            near += table[:, code[:, s]]
-        a, b = np.nonzero(near <= bound[None, :])
+            table = lengths[s][:, None] - 2 * (q.books[s] @ left[:, s].T)
+            near += table[code[:, s]]
+        b, a = np.nonzero(near <= bound[:, None])
         a += at
         exact = np.einsum("ij,ij->i", x[a], y[b])
         good = (exact >= cosine) & (x_id[a] != y_id[b])
@@ -244,12 +304,17 @@ def links(vectors: DataFrame, dimensions: int, cosine: float = COSINE, spread: f
     A vector appears once for each task that found links of it: ``n`` adds up to its links, and the pairs
     ``vec_id, root`` join the same components as the links do.
     """
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    if not sample:
+    total = vectors.count()
+    if not total:
         return vectors.sparkSession.createDataFrame([], "vec_id long, n long, root long")
-    q = fit(_unit(pa.array([r[0] for r in sample]), dimensions).astype(np.float32), vectors.count())
+    size = max(SAMPLE, MEASURED, SAMPLE_A_LIST * lists_for(total))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("embedding").toArrow()
+    sample = _unit(sample.column("embedding").combine_chunks(), dimensions)
+    q = fit(sample.astype(np.float32), total)
     index = settle(encoded(vectors, q, dimensions), "vector-index")
-    asked = probes(index, q, dimensions, reach(cosine, dimensions, spread))
+    if spread is not None:
+        spread = max(spread, MARGIN * measured_spread(index, q, sample[:MEASURED], dimensions, cosine))
+    asked = probes(index, q, dimensions, cosine, spread)
     blocks = lambda rows, name: rows.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias(f"n_{name}"))
     sizes = settle(blocks(index, "block").join(blocks(asked, "part"), "list"), "vector-lists")
     keys = ["list", "block", "part"]

@@ -184,7 +184,7 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return split.join(bases, [group, "_slice"]).withColumn("pos", F.col("_at") + F.col("_base")).drop("_slice", "_at", "_base")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``materialise``, after which the shuffle files of finished jobs are let go.
 
     Spark removes them when the driver's garbage collector finds their plans unused, which can take
@@ -192,7 +192,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     gc.collect()

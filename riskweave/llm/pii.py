@@ -5,12 +5,15 @@ that hold a digit, an ``@`` or a ``+`` (all others are of no kind). Its potentia
 shape, of neighbouring words' labels, and of *skip* links between distant words that are the same or
 end in the same digits, which favour one label for both. Loopy message passing lets a mention that
 is clear in one place settle the unclear ones elsewhere in the document. Weights maximise the
-pseudo-likelihood of a sample labelled by the patterns.
+pseudo-likelihood of a sample. Its texts are labelled by the patterns; of those with a mention, a copy is
+added in which the mentions are written with other separators, so that no pattern finds them but their label
+is known. So the field learns more than the patterns say.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +28,13 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Labels of a word: none, or 1 + the place of its kind in KINDS.
 LABELS = 1 + len(KINDS)
 
-#: Documents that the weights are fitted on (lowest hash of the id first), and words taken of each.
+#: Distinct documents that the weights are fitted on (lowest hash of the id and text first), and words taken of each (lowest
+#: hash of their place first, so from the whole text).
 SAMPLE = 4000
 SAMPLE_WORDS = 200
 STEPS = 300
 RATE = 0.1
-PENALTY = 1e-3
+PENALTY = 1e-4
 
 #: Rounds of message passing, part of the old message kept, least probability of an added label.
 ROUNDS = 10
@@ -46,6 +50,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 _SIGN = re.compile(r"[0-9@+]")
 _SPACE = frozenset("\x20\x09\x0a\x0b\x0c\x0d")
 _NEXT_SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -110,7 +115,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 _DIGIT_STEPS = [0, 1, 4, 7, 10, 13, 16, 20]
-FEATURES = 28
+FEATURES = 30
 
 
 def features(word: str) -> list[int]:
@@ -118,6 +123,8 @@ def features(word: str) -> list[int]:
     digits = sum("0" <= c <= "9" for c in word)
     out = [0, 1 + max(i for i, n in enumerate(_DIGIT_STEPS) if digits >= n)]
     letters = sum(c.isalpha() for c in word)
+    runs = _DIGITS.findall(word)
+    groups, longest = len(runs), max(map(len, runs), default=0)
     dots = word.count(".")
     traits = [
         "@" in word,
@@ -135,6 +142,12 @@ def features(word: str) -> list[int]:
         any(ord(c) > 127 for c in word),
         digits > 0 and not letters and "@" not in word,
         len(word) > 24,
+        groups == 2,
+        groups == 3,
+        groups == 4 and longest <= 3,
+        groups >= 4 and longest == 4,
+        groups > 4,
+        digits >= 12 and luhn("".join(runs)),
     ]
     return out + [9 + i for i, has in enumerate(traits) if has]
 
@@ -234,8 +247,10 @@ def _admissible(kind: int, part: str) -> bool:
     if kind == 0:
         return re.fullmatch(r"[^@]+@[^@]+", part) is not None
     if kind == 1:
-        return re.fullmatch(r"[0-9]{1,3}([^0-9A-Za-z]+[0-9]{1,3}){3}", part) is not None
-    return not any(c.isalpha() or c == "@" for c in part) and (12 <= digits <= 19 if kind == 2 else 7 <= digits <= 15)
+        return re.fullmatch(r"[0-9]{1,3}([^0-9A-Za-z]+[0-9]{1,3}){3}", part) is not None and all(int(n) <= 255 for n in _DIGITS.findall(part))
+    if any(c.isalpha() or c == "@" for c in part):
+        return False
+    return 12 <= digits <= 19 and luhn(_NOT_DIGIT.sub("", part)) if kind == 2 else 7 <= digits <= 15
 
 
 def added_spans(text: str, found: list[tuple[int, int]], likely: np.ndarray, base: list[Span]) -> list[Span]:
@@ -255,54 +270,114 @@ def added_spans(text: str, found: list[tuple[int, int]], likely: np.ndarray, bas
     return out
 
 
-def _taught(text: str) -> list[tuple[list[int], int, int, int, list[int]]]:
-    """Per word of a text: traits, own label, labels to the left and right, labels of skip links."""
-    found = words(text)[:SAMPLE_WORDS]
-    graph, spans = empty_graph(), base_spans(text)
+#: By kind, what a mention's separators become in a perturbed copy.
+_REWRITES = [
+    [(re.compile(r"\.(?=[^@]*$)"), ","), (re.compile(r"\.(?=[^@]*$)"), "_")],
+    [(re.compile(r"\."), "-"), (re.compile(r"\."), ":"), (re.compile(r"\."), ",")],
+    [(re.compile(r"(?<=[0-9])[\x20-]?(?=(?:[0-9]{4}){1,3}$)"), "."), (re.compile(r"(?<=[0-9])[\x20-]?(?=[0-9]{4}$)"), "/")],
+    [(re.compile(r"[^0-9+]+"), "/"), (re.compile(r"(?<=[0-9])[^0-9]*(?=[0-9]{4}$)"), "_"), (re.compile(r"(?<=\+[0-9])[^0-9]*"), "/")],
+]
+
+
+def rewritten(kind: int, mention: str) -> str | None:
+    """A mention with other separators, so that no pattern finds it, in a way chosen by the mention itself; null if there is none."""
+    ways = _REWRITES[kind]
+    for i in range(len(ways)):
+        rewrite, by = ways[(len(mention) + sum(mention.encode()) + i) % len(ways)]
+        new = rewrite.sub(by, mention)
+        if not base_spans(new):
+            return new
+    return None
+
+
+def perturbed(text: str, base: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its mentions rewritten where they can be, and where all are then.
+
+    Of mentions that overlap only the first is taken.
+    """
+    parts, spans, at, shift = [], [], 0, 0
+    for kind, start, end in sorted(base, key=lambda s: (s[1], s[0])):
+        if start < at:
+            continue
+        old = text[start:end]
+        new = rewritten(kind, old) or old
+        parts += [text[at:start], new]
+        spans.append((kind, start + shift, start + shift + len(new)))
+        shift += len(new) - len(old)
+        at = end
+    return "".join([*parts, text[at:]]), spans
+
+
+Taught = tuple[list[int], int, int, int, list[int]]
+
+
+def _taught(text: str, spans: list[Span]) -> list[Taught]:
+    """Per word of a text: traits, own label, labels to the left and right, number of skip links to each label."""
+    found = words(text)
+    graph = empty_graph()
     graph.add(text, found)
-    label = [next((1 + k for k, s, e in spans if s < end and start < e), 0) for start, end in found]
-    left, right, linked = [0] * len(found), [0] * len(found), [[] for _ in found]
+    label, ordered, k = [0] * len(found), sorted(spans, key=lambda s: (s[1], s[0])), 0
+    for i, (start, end) in enumerate(found):
+        while k < len(ordered) and ordered[k][2] <= start:
+            k += 1
+        # spans of two kinds may overlap, so the next one may hold the word too
+        label[i] = min((1 + kind for kind, s, e in ordered[k : k + len(KINDS)] if s < end and start < e), default=0)
+    left, right, linked = [0] * len(found), [0] * len(found), [[0] * LABELS for _ in found]
     for a, b in graph.chain:
         left[b], right[a] = label[a], label[b]
     for a, b in graph.skip:
-        linked[a].append(label[b])
-        linked[b].append(label[a])
-    return list(zip(graph.traits, label, left, right, linked, strict=True))
+        linked[a][label[b]] += 1
+        linked[b][label[a]] += 1
+    chosen = sorted(range(len(found)), key=lambda i: zlib.crc32(b"%d" % i))[:SAMPLE_WORDS]
+    return [(graph.traits[i], label[i], left[i], right[i], linked[i]) for i in chosen]
+
+
+def lessons(text: str) -> list[Taught]:
+    """What a text teaches: its words, and those of a perturbed copy if it has a mention."""
+    base = base_spans(text)
+    return _taught(text, base) + (_taught(*perturbed(text, base)) if base else [])
 
 
 def fit(documents: DataFrame) -> Field:
-    """Weights from at most SAMPLE documents. Without any word to learn from, nothing is of any kind."""
+    """Weights from at most SAMPLE distinct documents. Without any word to learn from, nothing is of any kind.
+
+    Rows equal in id and text are one document, and an id of very many rows counts row by row. Equal words with equal
+    neighbours are counted on the executors; only distinct ones reach the driver, at most 2 SAMPLE SAMPLE_WORDS.
+    """
     bound_batches(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    names = ["traits", "own", "to_left", "to_right", "linked"]
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    chosen = texts.select("row").distinct().orderBy("row").limit(SAMPLE)
 
     def run(batches):
         for batch in batches:
-            rows = [row for text in column(batch, "text") for row in _taught(text.as_py() or "")]
+            rows = [row for text in column(batch, "text") for row in lessons(text.as_py() or "")]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
                 )
 
+    names = ["traits", "own", "to_left", "to_right", "linked"]
     types = [pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
     schema = "traits array<int>, own int, to_left int, to_right int, linked array<int>"
-    rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, schema).collect()
+    sample = texts.join(F.broadcast(chosen), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    rows = sample.select("text").mapInArrow(run, schema).groupBy(*names).agg(F.count("*").alias("n")).collect()
+    rows = sorted(rows, key=lambda r: tuple(r))
     shape, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 0.0
     if not rows:
         shape[0, 0] = 10.0
         return Field(shape, chain, skip)
     x = np.zeros((len(rows), FEATURES))
-    same = np.zeros((len(rows), LABELS))
     for i, row in enumerate(rows):
         x[i, row.traits] = 1
-        np.add.at(same[i], row.linked, 1)
+    same = np.array([row.linked for row in rows], float)
+    weight = np.array([row.n for row in rows], float)[:, None]
+    weight /= weight.sum()
     own, left, right = (np.eye(LABELS)[[row[c] for row in rows]] for c in names[1:4])
     params = [shape, chain, np.zeros(1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         score = x @ params[0] + left @ params[1] + right @ params[1].T + params[2] * same
-        gap = (np.exp(score - _log_sum(score, axis=1)[:, None]) - own) / len(rows)
+        gap = (np.exp(score - _log_sum(score, axis=1)[:, None]) - own) * weight
         slopes = [x.T @ gap, left.T @ gap + gap.T @ right, np.array([(gap * same).sum()])]
         for p, g, m, v in zip(params, slopes, first, second, strict=True):
             g = g + PENALTY * p

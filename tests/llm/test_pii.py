@@ -114,3 +114,55 @@ def test_field_learns_the_patterns(spark):
         right += (best == [1, 2, 4, 0][kind]).sum()
         total += len(found)
     assert right / total > 0.95
+
+
+def planted(rng):
+    """A text with one mention, or a number that is none: text, kind, mention."""
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    card = next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c))
+    number = next(c for c in iter(lambda: digits(16), None) if not pii.luhn(c))
+    kind = rng.choice([0, 1, 2, 3, None, None, None])
+    what = {
+        0: f"{rng.choice('abc')}{digits(2)}@mail.example.org",
+        1: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        2: rng.choice([card, " ".join(card[i : i + 4] for i in (0, 4, 8, 12))]),
+        3: rng.choice([f"+1 (555) {digits(3)}-{digits(4)}", f"+49 30 {digits(7)}", f"+1555{digits(7)}"]),
+        None: rng.choice([number, f"2024-0{digits(1)}-1{digits(1)}", f"item {digits(5)}", f"{digits(1)}.{digits(1)}.", f"no. {digits(9)}", f"{digits(2)}:{digits(2)}"]),
+    }[kind]
+    return kind, what
+
+
+def test_rewritten_mentions_that_no_pattern_finds(spark):
+    rng = random.Random(17)
+    made = [planted(rng) for _ in range(1500)]
+    f = pii.fit(spark.createDataFrame([(i, f"some words {what} and more") for i, (_, what) in enumerate(made)], SCHEMA))
+    held, want = [], []
+    for kind, what in (planted(rng) for _ in range(600)):
+        new = what if kind is None else pii.rewritten(kind, what)
+        assert new is not None and (kind is None or not plain.personal(new))
+        held.append(f"other words {new} follow")
+        want.append(None if kind is None else (pii.KINDS[kind], 12, 12 + len(new)))
+    out = pii.find(spark.createDataFrame(list(enumerate(held)), SCHEMA), f).collect()
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans if not s.base} for r in out}
+    right = sum(w in got[i] for i, w in enumerate(want) if w)
+    added = sum(map(len, got.values()))
+    assert right >= 0.9 * sum(w is not None for w in want)
+    assert right >= 0.95 * added
+
+
+def test_fit_on_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 20)
+    monkeypatch.setattr(pii, "SAMPLE_WORDS", 3)
+    rows = [(1, f"call +1 (555) 010-{i:04} or {i}") for i in range(1000)] + [(None, None), (2, "")] + [(3, "+15550109999")] * 50
+    field = pii.fit(spark.createDataFrame(rows, SCHEMA))
+    assert field.shape.shape == (pii.FEATURES, pii.LABELS) and np.isfinite(field.shape).all()
+    assert len(pii._taught("1 2 3 4 5 6", [])) == 3
+
+
+def test_perturbed_places():
+    text = "x a1@b.example.org, 10.2.3.4 and +1 (555) 010-9999; 4111 1111 1111 1111"
+    new, spans = pii.perturbed(text, pii.base_spans(text))
+    assert [pii.KINDS[k] for k, _, _ in spans] == ["email", "ip", "phone", "card"]
+    assert not plain.personal(new)
+    undone = lambda t: "".join(c for c in t if c.isalnum())
+    assert undone(new) == undone(text) and [undone(new[s:e]) for _, s, e in spans] == ["a1bexampleorg", "10234", "15550109999", "4111" + "1" * 12]

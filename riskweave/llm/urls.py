@@ -2,7 +2,9 @@
 
 Fixed host and path rules come first. For the other urls, FP-growth mines the sets of url tokens that
 go with a label; rules are kept by support and confidence, less those that a shorter rule says as
-well. A rule is indexed under its rarest token, and tried on the urls that have this token.
+well. Tokens that labelled urls have only together are mined as one item, so a template of many tokens
+does not give a set for each of its parts. A rule is indexed under its rarest token, and tried on the
+urls that have this token.
 """
 
 from __future__ import annotations
@@ -84,6 +86,30 @@ def tokens() -> F.Column:
     )
 
 
+def token_classes(labelled: DataFrame) -> DataFrame:
+    """``token, item`` of the tokens in ``labelled(tokens, bad)`` that stand for another: ``item`` is the least of those in the same urls.
+
+    Sets of urls are equal if their size and two hash sums are. Only tokens of LEAST_URLS urls or more can be in a rule.
+    """
+    spark = labelled.sparkSession
+    known = labelled.where("bad is not null").select("tokens", F.monotonically_increasing_id().alias("url"))
+    each = materialise(known, "url-numbers").select(F.explode(F.array_distinct("tokens")).alias("token"), "url")
+    support = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("url")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("s2")]
+    sums = materialise(each.groupBy("token").agg(*support).where(f"n >= {LEAST_URLS}"), "url-supports")
+    least = sums.groupBy("n", "s1", "s2").agg(F.min("token").alias("item"))
+    return materialise(sums.join(least, ["n", "s1", "s2"]).where("token <> item").select("token", "item"), "url-classes")
+
+
+def as_items(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``tokens, items`` of the distinct ``tokens`` of ``sets``, each token replaced by what stands for it."""
+    distinct = sets.select("tokens").distinct()
+    if classes.isEmpty():
+        return distinct.withColumn("items", F.col("tokens"))
+    each = distinct.select("tokens", F.explode_outer("tokens").alias("token")).join(classes, "token", "left")
+    # one list for the tokens of one url
+    return each.groupBy("tokens").agg(F.array_sort(F.collect_set(F.coalesce("item", "token"))).alias("items"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules ``items, verdict, confidence, support, probe`` from ``labelled(tokens, bad boolean)``.
 
@@ -158,9 +184,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES) ->
     number = F.expr("try_cast(regexp_extract(path, '([0-9]{1,18})([.][A-Za-z]+)?/?$', 1) as long)")
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("quality = 0 or toxic = 1")).alias("bad"))
     labelled = urls.select("tokens", number.alias("doc_id")).join(bad, "doc_id")
-    found = judge_tokens(urls.select("tokens").distinct(), mine(labelled))
+    named = materialise(as_items(urls, token_classes(labelled)), "url-items")
+    rules = mine(labelled.join(named, "tokens").select(F.col("items").alias("tokens"), "bad"))
+    found = judge_tokens(named.select(F.col("items").alias("tokens")).distinct(), rules)
+    verdicts = named.join(found.withColumnRenamed("tokens", "items"), "items").select("tokens", "method_verdict")
     return (
-        urls.join(found, "tokens", "left")
+        urls.join(verdicts, "tokens", "left")
         .withColumn("verdict", F.coalesce("rule_verdict", "method_verdict", F.lit("allow")))
         .select("page_id", "host", "path", "rule", "verdict")
     )

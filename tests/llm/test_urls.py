@@ -85,3 +85,30 @@ def test_held_out_urls(spark):
     got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
     held = [(got[i] == "block") == bad for i, _, bad in made if i >= 600]
     assert sum(held) / len(held) > 0.95
+
+
+def test_template_of_many_tokens(spark):
+    """Forty tokens that always occur together would alone make 2^40 sets."""
+    rng = random.Random(5)
+    template = "/".join(f"t{a}{b}" for a in "abcdefgh" for b in "klmno")
+
+    def page(i):
+        casino = rng.random() < 0.5
+        return i, f"http://example.org/{template if casino else 'plain'}/{rng.choice(['red', 'blue'])}/{i}", casino
+
+    made = [page(i) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(not bad), 0) for i, _, bad in made if i < 200], LABELS)
+    # one token of the template is enough, as each is a rule of its own
+    more = [(900, "http://example.org/tak/red/x"), (901, "http://example.org/other/red/x")]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in made] + more, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
+    assert all((got[i] == "block") == bad for i, _, bad in made)
+    assert got[900] == "block" and got[901] == "allow"
+
+
+def test_token_classes(spark):
+    sets = [(["a", "b", "c", "d"], True)] * 25 + [(["c", "e"], False)] * 30 + [(["f", "g"], True)] * 3 + [(["a"], None)] * 5
+    classes = urls.token_classes(spark.createDataFrame(sets, "tokens array<string>, bad boolean"))
+    assert sorted(map(tuple, classes.collect())) == [("b", "a"), ("d", "a")]
+    named = urls.as_items(spark.createDataFrame([(["b", "c", "d", "z"],), ([],)], "tokens array<string>"), classes)
+    assert sorted((r.tokens, r["items"]) for r in named.collect()) == [([], []), (["b", "c", "d", "z"], ["a", "c", "z"])]

@@ -120,12 +120,17 @@ def placed_rows(documents: DataFrame, limit: int, *more: str) -> DataFrame:
 def write_shards(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Write the rows of ``documents`` below ``path``, a folder per shard, and return what ``shards`` does.
 
-    Ids may be null or repeated: each row has a number of its own, by which it goes to its shard.
+    Ids may be null or repeated: each row has a number of its own, by which it goes to its shard. A column
+    ``shard_folder`` is replaced by the name of the folder.
     """
-    rows = materialise(documents.withColumn("shard_row", F.monotonically_increasing_id()), "shard-documents")
-    placed = materialise(placed_rows(rows, limit, "shard_row"), "shard-places")
+    kept = [F.col(f"`{c}`") for c in documents.columns if c != "shard_folder"]
+    # the row is one column, so that none of its columns can clash
+    numbered = documents.select(F.struct(*kept).alias("own"), F.monotonically_increasing_id().alias("shard_row"))
+    rows = materialise(numbered, "shard-documents")
+    placed = materialise(placed_rows(rows.select("own.doc_id", "own.text", "shard_row"), limit, "shard_row"), "shard-places")
     folders = placed.select("shard_row", F.concat(F.lit("s"), "shard").alias("shard_folder"))
-    rows.join(folders, "shard_row").drop("shard_row").repartition("shard_folder").write.partitionBy("shard_folder").parquet(path)
+    out = rows.join(folders, "shard_row").select("own.*", "shard_folder")
+    out.repartition("shard_folder").write.partitionBy("shard_folder").parquet(path)
     return placed.drop("shard_row")
 
 

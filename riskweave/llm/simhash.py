@@ -11,6 +11,7 @@ Nothing is lost, whatever the estimates say: these only steer the cost.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from ..session import materialise
 from .common import bound_batches, column, components
@@ -66,17 +68,18 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = 42) -> int:
     return int(np.packbits((2 * counts > total).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (signed long of the 64 bits) of every row."""
+def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = 42, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``key``, which are whole numbers, and ``fp`` (signed long of the 64 bits) of every row."""
     bound_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
             texts = column(batch, "text").cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", words, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, k) for k in key], pa.array(fps.view(np.int64))], [*key, "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    keys = [F.col(k).cast("long").alias(k) for k in key]
+    return documents.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in [*key, "fp"]))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -209,20 +212,34 @@ def simhash_classes(documents: DataFrame, words: int = WORDS, distance: int = DI
     return each.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def row_hashes(documents: DataFrame) -> list[F.Column]:
+    """``r1, r2``: two hashes of a whole row; nulls count, and nested columns as JSON text."""
+    parts = []
+    for field in documents.schema:
+        value = F.col(f"`{field.name}`")
+        plain = isinstance(field.dataType, AtomicType) and not isinstance(field.dataType, VariantType)
+        parts += [value.isNull(), value if plain else F.to_json(F.struct(value.alias("c")), {"ignoreNullFields": "false"})]
+    return [F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit(1), *parts).alias("r2")]
+
+
 def drop_near_duplicates(documents: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component: that of the lowest id (null last) and, of these, the lowest hash of the row.
+    """One row of each component: that of the lowest id (null last) and, of these, the lowest hashes of the row.
 
-    All rows carry links here, also those that share an id or have none.
+    All rows carry links here, also those that share an id or have none. Columns beside ``doc_id`` and ``text`` may
+    be of any name and type.
     """
-    keyed = documents.withColumn("_row", F.xxhash64(*documents.columns))
-    # a row is told by its hash, as its id need not tell it
-    each = materialise(fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text"), words), "simhash-rows")
+    # a row is told by its hashes, as its id need not tell it, and travels as one column, so that no name can clash
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")
+    keyed = documents.select(whole, *row_hashes(documents))
+    each = materialise(
+        fingerprints(keyed.select("own.doc_id", "own.text", "r1", "r2"), words, key=["doc_id", "r1", "r2"]), "simhash-rows"
+    )
     prints = each.select("fp").distinct()
     pairs = near_pairs(prints, distance).select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = components(pairs, "simhash-links")
     classes = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("class"))
-    named = each.distinct().join(classes, "fp").select(F.col("doc_id").alias("_row"), "class")
-    ranks = keyed.select("_row", "doc_id").distinct().join(named, "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("first")
-    kept = ranks.groupBy("class").agg(first).select("first._row")
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "r1", "r2")).alias("first")
+    # the rows of one fingerprint are combined before they meet their component
+    firsts = each.groupBy("fp").agg(first).join(classes, "fp")
+    kept = firsts.groupBy("class").agg(F.min("first").alias("first")).select("first.r1", "first.r2")
+    return keyed.join(kept, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("own.*")

@@ -170,3 +170,15 @@ def test_blocks_grow_with_the_input(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
     df = spark.createDataFrame([(i, "x" * 100, "ab"[i % 2]) for i in range(200)], DOCUMENTS)
     assert {r.slot for r in mixing.mix(df, block_bytes=100).collect()} == set(range(10))
+
+
+def test_any_column_name(spark, tmp_path):
+    rows = [(i % 3 or None, "x" * (10 * i), f"s{i % 2}") for i in range(12)]
+    names = ["own", "shard_row", "shard", "prefix", "bits", "mix_source", "mix_unit", "own_source", "own_unit", "_source", "_unit", "row", "cell"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.concat(F.lit(c), "text") for c in names})
+    sharding.write_shards(df, str(tmp_path / "s"), 200)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert set(back.columns) == {*df.columns, "shard_folder"}
+    for out in (back, mixing.mix(df), mixing.mixed_stream(df)):
+        got = out.select("doc_id", "text", "source", *names).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, df.collect()), key=repr)

@@ -88,3 +88,21 @@ def test_one_row_a_component_whatever_the_ids(spark):
     rows = [(4, one), (4, two), (4, two), (9, one), (None, one), (None, three), (None, three), (7, two)]
     got = [tuple(r) for r in simhash.drop_near_duplicates(documents(spark, rows)).select("doc_id", "text").collect()]
     assert sorted(got, key=repr) == sorted([(4, one), (4, two), (None, three)], key=repr)
+
+
+def test_any_column_name_and_type(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "f g h i j k l"), (None, "a b c d e"), (2, None)]
+    names = ["_row", "own", "r1", "r2", "fp", "class", "first", "x"]
+    df = documents(spark, rows).withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit("-"))) for c in names})
+    df = df.withColumns({"m": F.create_map(F.lit("k"), "doc_id"), "a.b": F.array(F.lit(None), "doc_id"), "v": F.parse_json(F.lit("1"))})
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = out.select("doc_id", "text", *names, "m", "`a.b`").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "a b c d e"), (1, "f g h i j k l"), (2, "")]
+    assert all(r[c] == c + (r["text"] or "-") for r in got for c in names)
+    assert all(r.m == {"k": r.doc_id} and r["a.b"] == [None, r.doc_id] for r in got)
+
+
+def test_rows_are_told_apart(spark):
+    df = spark.createDataFrame([(1, None, "a", [None, "x"]), (1, "a", None, ["x", None]), (1, "a", None, [None, "x"])], "doc_id long, p string, q string, z array<string>")
+    assert df.select(*simhash.row_hashes(df)).distinct().count() == 3

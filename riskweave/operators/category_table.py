@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import quoted, text_columns
+from ..session import shuffle_width
 from .ordered import prefix_totals
 
 MISSING = "_nan"
+#: Rows that a task gets, and tasks among which the rows of one client are dealt.
+ROWS_PER_TASK, SALTS = 200_000, 16
 
 
 def label_table(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
@@ -43,18 +46,34 @@ def label_encode(df: DataFrame, labels: DataFrame, columns: Sequence[str]) -> Da
     return out.select(*[coded.get(c, F.col(quoted(c))) for c in df.columns])
 
 
+def _cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``(key, column, category, n)``, all rows of a client in one task.
+
+    How many rows a task gets does not depend on the size of the table, nor on how well they compress: both exchanges
+    have a number of partitions that follows from the number of rows. Rows are counted before a client's are
+    gathered, and those of one client are dealt to SALTS tasks for it.
+    """
+    known = df.where(F.col(quoted(key)).isNotNull())
+    tasks = max(shuffle_width(df.sparkSession), -(-known.count() // ROWS_PER_TASK))
+    own = known.select(F.col(quoted(key)).alias(key), *[F.col(quoted(c)).cast("string").alias(c) for c in columns])
+    dealt = own.withColumn("_salt", F.monotonically_increasing_id() % SALTS).repartition(tasks, quoted(key), "_salt")
+    # unlike unpivot, this keeps the partitions
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("category")) for c in columns])
+    long = dealt.select(quoted(key), "_salt", F.inline(pairs))
+    counted = long.groupBy(quoted(key), "_salt", "column", "category").agg(F.count(F.lit(1)).alias("n"))
+    gathered = counted.drop("_salt").repartition(tasks, quoted(key))
+    return gathered.groupBy(quoted(key), "column", "category").agg(F.sum("n").alias("n"))
+
+
 def share_rows(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """``(key, column, category, n, share)``: the share of a client's rows in each category it has, null among them.
 
     Rows are counted per client and category before anything is gathered.
     """
     columns = list(columns if columns is not None else [c for c in text_columns(df) if c != key])
-    known = df.where(F.col(quoted(key)).isNotNull())
-    long = known.select(F.col(quoted(key)).alias(key), *[F.col(quoted(c)).cast("string").alias(c) for c in columns])
-    cells = long.unpivot([quoted(key)], [F.col(quoted(c)) for c in columns], "column", "category")
-    cells = cells.groupBy(key, "column", "category").agg(F.count(F.lit(1)).alias("n"))
-    sizes = known.groupBy(F.col(quoted(key)).alias(key)).agg(F.count(F.lit(1)).alias("_rows"))
-    return cells.join(sizes, key).select(key, "column", "category", "n", (F.col("n") / F.col("_rows")).alias("share"))
+    # every column has all rows of a client
+    rows = F.sum("n").over(Window.partitionBy(quoted(key), "column"))
+    return _cells(df, key, columns).select(quoted(key), "column", "category", "n", (F.col("n") / rows).alias("share"))
 
 
 def share_maps(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -64,14 +83,16 @@ def share_maps(df: DataFrame, key: str, columns: Sequence[str] | None = None) ->
     as large as the number of categories of one client.
     """
     columns = list(columns if columns is not None else [c for c in text_columns(df) if c != key])
-    rows = share_rows(df, key, columns)
+    found: list[Column] = []
     parts: list[Column] = []
-    for c in columns:
+    for i, c in enumerate(columns):
         own = F.col("column") == c
-        entry = F.when(own & F.col("category").isNotNull(), F.struct("category", "share"))
-        parts.append(F.map_from_entries(F.collect_list(entry)).alias(c))
-        parts.append(F.coalesce(F.max(F.when(own & F.col("category").isNull(), F.col("share"))), F.lit(0.0)).alias(c + MISSING))
-    return rows.groupBy(key).agg(*parts)
+        found.append(F.collect_list(F.when(own & F.col("category").isNotNull(), F.struct("category", "n"))).alias(f"_list{i}"))
+        found.append(F.coalesce(F.max(F.when(own & F.col("category").isNull(), F.col("n"))), F.lit(0)).alias(f"_null{i}"))
+        shares = F.transform(f"_list{i}", lambda e: F.struct(e["category"], e["n"] / F.col("_rows")))
+        parts += [F.map_from_entries(shares).alias(c), (F.col(f"_null{i}") / F.col("_rows")).alias(c + MISSING)]
+    rows = F.sum(F.when(F.col("column") == columns[0], F.col("n"))).alias("_rows")
+    return _cells(df, key, columns).groupBy(quoted(key)).agg(rows, *found).select(quoted(key), *parts)
 
 
 def share_of(column: str, category: str) -> Column:

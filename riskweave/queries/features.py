@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -558,14 +556,14 @@ _SHARE_COLUMNS = ["NAME_CONTRACT_STATUS", "NAME_CONTRACT_TYPE"]
 def category_shares(spark, sf):
     """Maps of shares, one entry a row again."""
     maps = category_table.share_maps(source(spark, sf, "previous_application"), "SK_ID_CURR", _SHARE_COLUMNS)
-    known = [maps.select("SK_ID_CURR", F.lit(c).alias("column"), F.explode(c).alias("category", "share")) for c in _SHARE_COLUMNS]
-    missing = [
-        maps.where(F.col(c + category_table.MISSING) > 0).select(
-            "SK_ID_CURR", F.lit(c).alias("column"), F.lit(None).cast("string").alias("category"), F.col(c + category_table.MISSING).alias("share")
-        )
-        for c in _SHARE_COLUMNS
-    ]
-    return tidy(reduce(lambda a, b: a.unionByName(b), known + missing), digits=6)
+
+    def entries(c):
+        name, nan = F.lit(c).alias("column"), F.col(c + category_table.MISSING)
+        known = F.transform(F.map_entries(c), lambda e: F.struct(name, e["key"].alias("category"), e["value"].alias("share")))
+        missing = F.struct(name, F.lit(None).cast("string").alias("category"), nan.alias("share"))
+        return F.concat(known, F.filter(F.array(missing), lambda e: e["share"] > 0))
+
+    return tidy(maps.select("SK_ID_CURR", F.inline(F.concat(*map(entries, _SHARE_COLUMNS)))), digits=6)
 
 
 @query(

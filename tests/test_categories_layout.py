@@ -159,3 +159,15 @@ def test_another_session_opens_the_table(stored):
 def test_names_are_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         layout.store_by_key(spark.range(3), "a; b", str(tmp_path / "x"), 2, "id")
+
+
+def test_shares_have_tasks_for_their_rows(spark, monkeypatch):
+    """The partitions of both exchanges follow from the rows; the adaptive plan does not join them."""
+    monkeypatch.setattr(C, "ROWS_PER_TASK", 100)
+    df = spark.range(0, 2500, 1, 1).selectExpr("id % 50 AS k", "concat('v', id % 7) AS c", "IF(id % 5 = 0, NULL, 'x') AS d")
+    out = C.share_maps(df, "k")
+    assert out.rdd.getNumPartitions() == 25
+    plain = df.toPandas()
+    for r in out.collect():
+        own = plain[plain.k == r["k"]]
+        assert r["c"] == pytest.approx(own.c.value_counts(normalize=True).to_dict()) and r["d_nan"] == pytest.approx(own.d.isna().mean())

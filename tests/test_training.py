@@ -153,3 +153,19 @@ def test_executors_need_no_copy_of_the_package(tmp_path):
     load = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
     for work in (row_values, leaf_tables, _block_sums(None)):
         subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(work), cwd=tmp_path, check=True)
+
+
+def test_fits_have_tasks_for_their_rows(spark, monkeypatch):
+    """A table in one partition is dealt out for the fit, and its folds are stored in as many parts."""
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    table = spark.range(0, 1000, 1, 1).selectExpr("id AS k", "id % 3 AS fold", "CAST(id % 2 AS INT) AS y", "id % 17 + id % 2 AS x", "1.0D AS weight")
+    seen = []
+    fit = training.GBTClassifier._fit
+    monkeypatch.setattr(training.GBTClassifier, "_fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.columns)) or fit(self, rows))
+    model = training.gbt_train(["x"], "y", trees=2, leaves=4, min_rows=5).fit(table)
+    assert seen == [(10, ["features_vector", "y", "weight"])] and model.transform(table).count() == 1000
+    written = []
+    write = training.materialise
+    monkeypatch.setattr(training, "materialise", lambda df, label: written.append((label, df.rdd.getNumPartitions())) or write(df, label))
+    training.cv_oof(table, lambda _: training.gbt_train(["x"], "y", trees=2, leaves=4, min_rows=5), "k", "y", folds=3).count()
+    assert written == [("folds", 10)]

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import SLICE_BYTES, WHITE, bound_batches, column, pair_hash, slices, text_buffer, word_hashes
+from ..operators.ordered import exact_quantiles, prefix_totals
+from .common import SLICE_BYTES, WHITE, bound_batches, column, pair_hash, settle, slices, text_buffer, word_hashes
 
 #: Hash buckets of the n-grams; bounds the model and what each task sends for it.
 BUCKETS = 1 << 15
-#: Most labelled documents read for the trusted counts and the threshold, lowest hash of the id first.
-LABELLED = 20_000
+#: Words of the bit filter of trusted ids; bounds what every task gets of it.
+FILTER_WORDS = 1 << 18
 #: The threshold is below this quantile of unseen trusted scores by MARGIN times its distance from their median.
 TRUSTED_LOSS = 0.001
 MARGIN = 1.0
@@ -94,35 +95,42 @@ def buckets(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     )
 
 
-def count_ngrams(documents: DataFrame, trusted: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts over all rows, and over those whose id is in ``trusted`` (at most LABELLED ids)."""
-    bound_batches(documents.sparkSession)
-    chosen = np.array(sorted(trusted), np.int64)
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the rows whose id is among ``ids(doc_id)``, which has no id twice.
+
+    A filter of 64 bits in each of FILTER_WORDS words goes to every task and rules out nearly all other rows, so that
+    hardly more than the wanted texts are shuffled for the exact join.
+    """
+    place = [
+        f"pmod(xxhash64(doc_id), {FILTER_WORDS}) AS word",
+        "shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id), 32), 64) AS int)) AS bit",
+    ]
+    bits = ids.selectExpr(*place).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").selectExpr("*", *place)
+    near = own.join(F.broadcast(bits), "word").where("bits & bit <> 0").select("doc_id", "text")
+    # a semi-join would be moved before the filter
+    return near.join(ids.select("doc_id"), "doc_id")
+
+
+def count_ngrams(texts: DataFrame) -> np.ndarray:
+    """Bucket counts over all rows."""
+    bound_batches(texts.sparkSession)
 
     def run(batches):
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = column(batch, "doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            member = np.isin(ids, chosen)
             buf, places = text_buffer(column(batch, "text"))
             for i, j in slices(places):
-                doc, cell = buckets(*word_hashes(buf, places[i : j + 1]))
-                raw += np.bincount(cell, minlength=BUCKETS)
-                good += np.bincount(cell[member[i:j][doc]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
-
-    cells = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(run, "bucket long, raw long, good long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-        .collect()
-    )
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, g in cells:
-        raw[bucket], good[bucket] = r, g
-    return raw, good
+                _, cell = buckets(*word_hashes(buf, places[i : j + 1]))
+                counts += np.bincount(cell, minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+
+    cells = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(BUCKETS)
+    for bucket, n in cells:
+        counts[bucket] = n
+    return counts
 
 
 def with_scores(documents: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -160,28 +168,27 @@ def with_scores(documents: DataFrame, weights: np.ndarray) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """The weights from all documents, the threshold from the scores of trusted labelled ones.
 
-    Trusted are documents labelled ``quality = 1``, at most LABELLED of them. Half of them give the trusted
-    counts, the other half the threshold: the former score higher than clean documents the model
+    Trusted are all documents labelled ``quality = 1``. Half of them, every other id in the order of a hash, give
+    the trusted counts, the other half the threshold: the former score higher than clean documents the model
     has not seen. Without one of the halves every document passes the ratio.
     """
     trusted = (
         labels.where("quality = 1 and doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"))
         .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(LABELLED)
+        .withColumns({"hash": F.xxhash64("doc_id"), "one": F.lit(1).cast("long")})
     )
-    ids = [r[0] for r in trusted.collect()]
-    raw, good = count_ngrams(documents, set(ids[::2]))
+    placed = prefix_totals(trusted, ["hash", "doc_id"], ["one"])
+    halves = settle(placed.select("doc_id", (F.col("one_upto") % 2 == 1).alias("fitted")), "quality-halves")
+    good = count_ngrams(texts_of(documents, halves.where("fitted")))
     if not good.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
+    raw = count_ngrams(documents)
     weights = np.log((good + SMOOTHING) / (good + SMOOTHING).sum()) - np.log((raw + SMOOTHING) / (raw + SMOOTHING).sum())
-    # at most LABELLED / 2 ids
-    held = documents.sparkSession.createDataFrame([(i,) for i in ids[1::2]], "doc_id long")
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(held), "doc_id", "left_semi")
-    scored = with_scores(sample, weights).where(~base_failed())
-    cut = scored.agg(F.expr(f"percentile(score, array({TRUSTED_LOSS}, 0.5))")).first()[0]
-    return Model(weights, -np.inf if cut is None else cut[0] - MARGIN * (cut[1] - cut[0]))
+    unseen = texts_of(documents, halves.where("not fitted"))
+    scores = settle(with_scores(unseen, weights).where(~base_failed()).select("score"), "quality-scores")
+    cut = exact_quantiles(scores, ["score"], [TRUSTED_LOSS, 0.5]).first()
+    return Model(weights, -np.inf if cut is None else cut["q0"] - MARGIN * (cut["q1"] - cut["q0"]))
 
 
 def base_failed() -> F.Column:

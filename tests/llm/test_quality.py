@@ -94,3 +94,18 @@ def test_odd_rows(spark):
     want = [(1, 0, True, False), (2, 0, True, False), (None, 60, False, True), (4, 60, False, True), (4, 60, False, True), (5, 90, True, False)]
     assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
     assert quality.judge(df.limit(0), spark.createDataFrame([(1, 1, 0)], LABELS)).collect() == []
+
+
+def test_all_trusted_documents_count(spark):
+    """More trusted documents than any fixed number that one could be tempted to read."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, 40 if i % 3 else 20, 52))) for i in range(21_000)]
+    df, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, 0) for i, _ in rows], LABELS)
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = plain_scores(rows, order[::2])
+    model = quality.fit(df, labels)
+    low, middle = np.quantile([want[i] for i in order[1::2]], [quality.TRUSTED_LOSS, 0.5])
+    assert abs(model.threshold - (low - quality.MARGIN * (middle - low))) < 1e-9
+    scores = {r.doc_id: r.score for r in quality.with_scores(df, model.weights).collect()}
+    assert max(abs(scores[i] - want[i]) for i, _ in rows) < 1e-9

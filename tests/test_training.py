@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import splits, training
 from riskweave.operators.trees import explain_trees, leaf_tables, model_leaves, row_values, shapley_shares, top_factors
 from riskweave.plans import cleaning
+from riskweave.queries import modelling
 from riskweave.session import materialise
 
 FEATURES = ["a", "b", "c"]
@@ -169,3 +170,27 @@ def test_fits_have_tasks_for_their_rows(spark, monkeypatch):
     monkeypatch.setattr(training, "materialise", lambda df, label: written.append((label, df.rdd.getNumPartitions())) or write(df, label))
     training.cv_oof(table, lambda _: training.gbt_train(["x"], "y", trees=2, leaves=4, min_rows=5), "k", "y", folds=3).count()
     assert written == [("folds", 10)]
+
+
+def test_gbt_train_boosts_the_whole_baseline(spark, monkeypatch):
+    """The registered query fits all trees of the baseline and judges them with the full patience."""
+    seen = []
+
+    def watched(pipeline, train, held_out, label, patience):
+        classifier = pipeline.getStages()[-1]
+        seen.append([classifier.getOrDefault(p) for p in ("maxIter", "stepSize", "maxDepth", "minInstancesPerNode", "subsamplingRate", "featureSubsetStrategy")] + [patience])
+        raise InterruptedError
+
+    df = spark.range(100).selectExpr("CAST(id AS INT) AS SK_ID_CURR", "CAST(id % 2 AS INT) AS TARGET", "id % 5 AS fold")
+    monkeypatch.setattr(modelling, "folded", lambda *_: df)
+    monkeypatch.setattr(modelling.staged, "fit_early_stopping", watched)
+    with pytest.raises(InterruptedError):
+        modelling.gbt_train(spark, "")
+    assert seen == [[1000, 0.05, 5, 20, 0.8, "0.8", 100]]
+
+
+def test_boosting_cuts_its_lineage(spark):
+    """Residuals of many trees are checkpointed, in a session that names no folder for it too."""
+    rows = spark.range(0, 60, 1, 1).selectExpr("id AS k", "CAST(id % 2 AS INT) AS y", "id % 17 + id % 2 AS x", "1.0D AS weight")
+    assert training.gbt_train(["x"], "y", trees=2, leaves=2, min_rows=5).fit(rows).transform(rows).count() == 60
+    assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()

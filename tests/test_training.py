@@ -194,3 +194,28 @@ def test_boosting_cuts_its_lineage(spark):
     rows = spark.range(0, 60, 1, 1).selectExpr("id AS k", "CAST(id % 2 AS INT) AS y", "id % 17 + id % 2 AS x", "1.0D AS weight")
     assert training.gbt_train(["x"], "y", trees=2, leaves=2, min_rows=5).fit(rows).transform(rows).count() == 60
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
+def test_random_search_judges_all_draws(spark, monkeypatch):
+    """The registered query draws 30 candidates of all searched values and judges each, and the grid around the best, over five folds."""
+    judged, folds = [], []
+
+    class Judge:
+        def __init__(self, df, pipeline, label, fold, n, parallel):
+            folds.append((n, df.select(fold).distinct().count()))
+
+        def mean_aucs(self, pipelines):
+            judged.append([p.getStages()[-1] for p in pipelines])
+            return [0.5] * len(pipelines)
+
+    df = spark.range(100).selectExpr("CAST(id AS INT) AS SK_ID_CURR", "CAST(id % 2 AS INT) AS TARGET", "1.0D AS weight")
+    monkeypatch.setattr(modelling, "training_table", lambda *_: df)
+    monkeypatch.setattr(training, "PreparedFolds", Judge)
+    rows = modelling.random_search(spark, "").collect()
+    first, second = judged
+    assert folds == [(5, 5)] and len(first) == 30
+    assert {c.getOrDefault("maxIter") for c in first} == {300, 500}
+    assert {c.getOrDefault("maxDepth") for c in first} == {5, 6, 7}
+    assert {c.getOrDefault("minInstancesPerNode") for c in first} == {20, 50, 100, 150}
+    near = [r for r in rows if r["stage"] == 2]
+    assert len([r for r in rows if r["stage"] == 1]) == 30 and len(near) in (6, 9) and len(second) < len(near)
